@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brackenfold.llm import contamination, splitting
+from brackenfold.llm import contamination, encoding, splitting
 from brackenfold.tables import table
 
 
@@ -16,6 +16,14 @@ def p1_found(spark, d):
     return p1_pieces(spark, d).where("piece_index = 0").select("vec_id").distinct()
 
 
+def p3_repaired(spark, d):
+    return encoding.find_garbled(table(spark, d, "chunks").select("vec_id", "source", "text")).distinct()
+
+
+def p3_found(spark, d):
+    return p3_repaired(spark, d).select("vec_id").distinct()
+
+
 def p6_leaks(spark, d):
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id", F.round("held", 6).alias("held"), "segments")
 
@@ -24,7 +32,7 @@ def p6_found(spark, d):
     return p6_leaks(spark, d).select("item_id", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_found": p6_found, "p6_leaks": p6_leaks}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks}
 ORACLES = {
     "p1_found": r"""select distinct vec_id from chunks join chunkers using (chunker_id)
 where len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > max_chunk_size""",
