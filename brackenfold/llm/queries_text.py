@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brackenfold.llm import contamination, encoding, sentences, splitting
+from brackenfold.llm import contamination, encoding, provenance, sentences, splitting
 from brackenfold.tables import table
 
 
@@ -24,6 +24,14 @@ def p3_found(spark, d):
     return p3_repaired(spark, d).select("vec_id").distinct()
 
 
+def p4_sources(spark, d):
+    return provenance.provenance(table(spark, d, "chunks"))
+
+
+def p4_found(spark, d):
+    return p4_sources(spark, d).where("reason is not null").select("source")
+
+
 def p6_leaks(spark, d):
     return contamination.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id", F.round("held", 6).alias("held"), "segments")
 
@@ -41,7 +49,7 @@ def p8_found(spark, d):
     return p8_sentences(spark, d).select("doc_id", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_sentences": p8_sentences}
 ORACLES = {
     "p1_found": r"""select distinct vec_id from chunks join chunkers using (chunker_id)
 where len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > max_chunk_size""",
