@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from brackenfold.llm import contamination, encoding, provenance, sentences, splitting
+from brackenfold.llm import contamination, encoding, mixing, provenance, sentences, splitting
 from brackenfold.tables import table
 
 
@@ -40,6 +40,18 @@ def p6_found(spark, d):
     return p6_leaks(spark, d).select("item_id", "doc_id")
 
 
+def p7_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_report(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p7_found(spark, d):
+    return mixing.unreachable(p7_report(spark, d))
+
+
 def p8_sentences(spark, d):
     docs = table(spark, d, "documents").where(F.col("kind").isin("prose", "note"))
     return sentences.sentences(docs, "doc_id", "text", by_line=F.col("kind") == "note")
@@ -49,7 +61,7 @@ def p8_found(spark, d):
     return p8_sentences(spark, d).select("doc_id", "end_char")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
 ORACLES = {
     "p1_found": r"""select distinct vec_id from chunks join chunkers using (chunker_id)
 where len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > max_chunk_size""",
