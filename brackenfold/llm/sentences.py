@@ -39,31 +39,34 @@ _OPEN, _CLOSE = "\"“„«‘'‚‹「『《(（\\[", "\"”“’»›'」』
 
 #: (pattern, replacement), in this order.
 MASKS = [
+    # the full stop comes first in each pattern, so that look-behinds run only where there is one
     # URLs, mail addresses, file names, version numbers, decimals: a full stop inside a word
-    (r"(?<=[\p{L}\p{N}_/])\.(?=[\p{L}\p{N}_/])", DOT),
+    (r"\.(?=[\p{L}\p{N}_/])(?<=[\p{L}\p{N}_/]\.)", DOT),
     # initials: one capital, or capitals with full stops
-    (rf"(?<={_START}\p{{Lu}})\.(?=[\s\p{{Lu}}-])(?!\s*\n\s*\n)", DOT),
-    (rf"(?<={DOT}\p{{Lu}})\.(?=\s)", DOT),
-    (rf"(?<={_START}(?:{_any(ALWAYS)}))\.(?=[\s-])", DOT),
-    (rf"(?<={_START}(?:{_any(BEFORE_NUMBER)}))\.(?=\s*\p{{N}})", DOT),
-    (rf"(?<=[’'](?:art|fig|al|éd))\.(?=\s*[\p{{N}}\p{{Ll}}])", DOT),
-    (rf"(?<={_START}(?:{_any(MAYBE_LAST)}))\.{_LOWER}", DOT),
+    (rf"\.(?=[\s\p{{Lu}}-])(?!\s*\n\s*\n)(?<=\p{{Lu}}\.)(?<={_START}.\.)", DOT),
+    (rf"\.(?=\s)(?<={DOT}\p{{Lu}}\.)", DOT),
+    (rf"\.(?=[\s-])(?<={_START}(?:{_any(ALWAYS)})\.)", DOT),
+    (rf"\.(?=\s*\p{{N}})(?<={_START}(?:{_any(BEFORE_NUMBER)})\.)", DOT),
+    (rf"\.(?=\s*[\p{{N}}\p{{Ll}}])(?<=[’'](?:art|fig|al|éd)\.)", DOT),
+    (rf"\.{_LOWER}(?<={_START}(?:{_any(MAYBE_LAST)})\.)", DOT),
     # one small letter and more text: т. е., z. B., p. ex., but not "0.5 h. The"
-    (rf"(?<={_START}\p{{Ll}})\.{_LOWER}", DOT),
-    (rf"(?<={_START}[zdu])\.(?=\s[BhaAÄ]\b)", DOT),
+    (rf"\.{_LOWER}(?<=\p{{Ll}}\.)(?<={_START}.\.)", DOT),
+    (rf"\.(?=\s[BhaAÄ]\b)(?<=[zdu]\.)(?<={_START}.\.)", DOT),
     # German dates
-    (rf"(?<=\b\d{{1,2}})\.(?=\s+(?:{_any(MONTHS)})\b)", DOT),
+    (rf"\.(?=\s+(?:{_any(MONTHS)})\b)(?<=\b\d{{1,2}}\.)", DOT),
 ]
 
 #: What joins a quotation to the words that report it, where letters have no case to tell.
-_REPORT_LEFT = r"(?:(?<=^)|(?<=[\n。！？｡”」』）…])|(?<=[.!?؟।۔…»”\")][ \n])|(?<=[-*•#] ))"
+_REPORT_LEFT = r"(?:(?<=^.)|(?<=[\n。！？｡”」』）…].)|(?<=[.!?؟।۔…»”\")][ \n].)|(?<=[-*•#] .))"
 JOINS = [
-    (rf"{_REPORT_LEFT}([“「『][^”」』{END}]{{1,500}}[。！？｡….!?][”」』])(?=[\p{{L}}\p{{N}}])", rf"$1{JOIN}"),
-    (rf"{_REPORT_LEFT}(«[^»{END}]{{1,500}}[.!?؟۔…]»|\"[^\"{END}]{{1,500}}[.!?।؟۔…]\"|“[^”{END}]{{1,500}}[.!?।؟۔…]”)(?=\s[\p{{L}}\p{{N}}&&[^\p{{Lu}}\p{{Ll}}]])", rf"$1{JOIN}"),
-    # between the sentences of one quotation
-    (rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[^“”{END}]{{1,500}}[”])(?<!“)", rf"$1{JOIN}"),
-    (rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[^«»{END}]{{1,500}}»)", rf"$1{JOIN}"),
-    (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}[」』])", rf"$1{JOIN}"),
+    (rf"([“「『]{_REPORT_LEFT}[^”」』{END}]{{1,500}}[。！？｡….!?][”」』])(?=[\p{{L}}\p{{N}}])", rf"$1{JOIN}"),
+    (rf"([«\"“]{_REPORT_LEFT}(?:(?<=«)[^»{END}]{{1,500}}[.!?؟۔…]»|(?<=\")[^\"{END}]{{1,500}}[.!?।؟۔…]\"|(?<=“)[^”{END}]{{1,500}}[.!?।؟۔…]”))(?=\s[\p{{L}}\p{{N}}&&[^\p{{Lu}}\p{{Ll}}]])", rf"$1{JOIN}"),
+]
+#: Between the sentences of one quotation, for texts that have its closing mark.
+INNER = [
+    (rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[\s\p{{L}}\p{{N}}“„\"'(（])(?=[^“”{END}]{{1,500}}+[”])", rf"$1{JOIN}", "”"),
+    (rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[\s\p{{L}}\p{{N}}])(?=[^«»{END}]{{1,500}}+»)", rf"$1{JOIN}", "»"),
+    (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}+[」』])", rf"$1{JOIN}", "」"),
 ]
 
 _LATIN_END = rf"(?:[.!?؟।۔։]+|…+|(?<=\p{{IsGreek}});)(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
@@ -73,7 +76,7 @@ ENDS = [
     # ideographic terminators need no blank
     (rf"((?:[。！？｡]+|(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー])…+)(?!{JOIN})[”’」』》）]*+(?!{JOIN}))(?![。！？｡…”’」』》）、，,；;：]|と|って)", rf"$1{END}"),
     # Thai, Lao, Khmer and Burmese: a blank between two words of the script, or before a capital
-    (r"(?<=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=[ \n][\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Lu}“«])", END),
+    (r"([ \n])(?=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Lu}“«])(?<=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}].)", END + "$1"),
 ]
 #: In texts with a unit per line, a sentence may also go on in small letters after a single mark.
 LINE_ENDS = [(rf"((?<![.{DOT}])(?:\.|[?!]+)(?!{JOIN}))(?=\s+\p{{Ll}})", rf"$1{END}")]
@@ -90,12 +93,18 @@ def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
-def marked(text: Column, by_line: Column) -> Column:
-    """text with masks, and a mark after each unit but the last."""
-    t = F.translate(text, DOT + END + JOIN, SPARE)
-    t = F.when(by_line, F.regexp_replace(t, r"\n", END + "\n")).otherwise(_apply(t, PARAGRAPHS))
-    t = _apply(_apply(_apply(t, MASKS), JOINS), ENDS)
-    return F.when(by_line, _apply(t, LINE_ENDS)).otherwise(t)
+def marked(df: DataFrame, key: str, text: str, by_line: Column) -> DataFrame:
+    """(key, _t): the text with masks, and a mark after each unit but the last."""
+    raw = F.col(text)
+    t = F.translate(raw, DOT + END + JOIN, SPARE)
+    t = F.when(F.col("_line"), F.regexp_replace(t, r"\n", END + "\n")).otherwise(_apply(t, PARAGRAPHS))
+    # one projection for each choice, as an expression used twice in one would run twice
+    out = df.select(key, text, by_line.alias("_line"), *[raw.contains(m).alias(f"_q{i}") for i, (_, _, m) in enumerate(INNER)])
+    out = out.withColumn("_t", t).withColumn("_t", _apply(_apply(F.col("_t"), MASKS), JOINS))
+    for i, (pattern, to, _) in enumerate(INNER):
+        out = out.withColumn("_t", F.when(F.col(f"_q{i}"), _apply(F.col("_t"), [(pattern, to)])).otherwise(F.col("_t")))
+    out = out.withColumn("_t", _apply(F.col("_t"), ENDS))
+    return out.select(key, F.when(F.col("_line"), _apply(F.col("_t"), LINE_ENDS)).otherwise(F.col("_t")).alias("_t"))
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: Column | None = None) -> DataFrame:
@@ -109,7 +118,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: C
     the same key gives its units.
     """
     by_line = F.lit(False) if by_line is None else F.coalesce(by_line, F.lit(False))
-    parts = F.split(F.regexp_replace(marked(F.col(text), by_line), JOIN, ""), END)
+    parts = F.split(F.regexp_replace("_t", JOIN, ""), END)
     # cumulative lengths, in one pass
     ends = F.aggregate(
         F.transform("_parts", lambda p: F.char_length(p)),
@@ -119,7 +128,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: C
     )
     blank = r"(?U)^\s+"
     return (
-        df.where(F.col(text).isNotNull())
+        marked(df.where(F.col(text).isNotNull()), key, text, by_line)
         .select(F.col(key), parts.alias("_parts"))
         .select(key, "_parts", ends.alias("_at"))
         .select(key, F.explode(F.arrays_zip("_parts", "_at")).alias("_u"))
