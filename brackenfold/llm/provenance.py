@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brackenfold.operators.skew import lookup_join
+from brackenfold.tables import checkpoint
 
 #: Lines of a block, and the share of a file's blocks that another repository must hold.
 BLOCK_LINES, COPY_SHARE, MIN_SHARED = 3, 0.5, 3
@@ -93,16 +94,20 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
-def blocks(text: Column) -> Column:
-    """Distinct hashes of all windows of BLOCK_LINES lines, without blanks at their ends."""
-    rows = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"(?U)\s+", " ")), lambda x: F.trim(x) != "")
-    leaf = F.transform(rows, lambda x: F.xxhash64(F.trim(x)))
-    # a hash of child hashes, by position
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(leaf) - BLOCK_LINES + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(leaf, i - 1 + k) for k in range(BLOCK_LINES)])
-        )
-    )
+def leaves(text: Column) -> Column:
+    """Hashes of the lines that aren't blank, without blanks at their ends and with single ones inside."""
+    rows = F.split(F.regexp_replace(F.trim(F.regexp_replace(text, r"(?U)[\s&&[^\n]]+", " ")), r" ?\n[\s]*", "\n"), "\n")
+    return F.transform(rows, lambda x: F.xxhash64(x))
+
+
+def blocks(leaf: str) -> Column:
+    """Distinct hashes of all windows of BLOCK_LINES lines: each a hash of child hashes, by position.
+
+    ``leaf`` must be a column, not an expression, which would be computed for each window anew.
+    """
+    window = lambda x, i: F.xxhash64(x, *[F.get(F.col(leaf), i + k) for k in range(1, BLOCK_LINES)])
+    full = F.transform(leaf, window)
+    return F.array_distinct(F.slice(full, 1, F.greatest(F.size(leaf) - BLOCK_LINES + 1, F.lit(1))))
 
 
 def provenance(chunks: DataFrame, source: str = "source", text: str = "text", index: str = "chunk_index") -> DataFrame:
@@ -124,7 +129,9 @@ def provenance(chunks: DataFrame, source: str = "source", text: str = "text", in
     shape = files.mapInPandas(_layouts, LAYOUT).groupBy("source", "repo").agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_chars", "top", "literal")], F.max("generated").alias("generated"), F.max("copied").alias("copied"))
     # Merkle hashes; settings files are short and alike by nature
     coded = files.where(~F.col("ext").isin(*SETTINGS))
-    leaf = coded.select(F.xxhash64("source").alias("f"), F.xxhash64("repo").alias("repo"), F.explode(blocks(F.col("text"))).alias("h")).distinct()
+    lines_of = coded.select(F.xxhash64("source").alias("f"), F.xxhash64("repo").alias("repo"), leaves(F.col("text")).alias("leaf"))
+    # three numbers a block, written once and read by each of the aggregations below
+    leaf = checkpoint(lines_of.select("f", "repo", F.explode(blocks("leaf")).alias("h")).distinct())
     of_block = leaf.groupBy("h").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.count("*").alias("n")).where("a < b").select("h", "n")
     shared = lookup_join(leaf, of_block, ["h"], "n").groupBy("f").agg(F.count("*").alias("shared_blocks"))
     nodes = leaf.groupBy("f").agg(F.count("*").alias("blocks"), F.xxhash64(F.bit_xor("h"), F.count("*")).alias("node"))
