@@ -8,8 +8,11 @@ import re
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Names of public embedding models that callers may ask for.
 MODELS = """sentence-transformers/all-MiniLM-L6-v2
@@ -101,13 +104,8 @@ class HashingEmbedder:
 
 
 def _dense(signed: Column, dim: int) -> Column:
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<float>")
     def scatter(pairs: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(p):
             v = np.zeros(dim, np.float32)
             for x in p:
