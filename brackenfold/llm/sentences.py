@@ -62,11 +62,11 @@ JOINS = [
     (rf"([“「『]{_REPORT_LEFT}[^”」』{END}]{{1,500}}[。！？｡….!?][”」』])(?=[\p{{L}}\p{{N}}])", rf"$1{JOIN}"),
     (rf"([«\"“]{_REPORT_LEFT}(?:(?<=«)[^»{END}]{{1,500}}[.!?؟۔…]»|(?<=\")[^\"{END}]{{1,500}}[.!?।؟۔…]\"|(?<=“)[^”{END}]{{1,500}}[.!?।؟۔…]”))(?=\s[\p{{L}}\p{{N}}&&[^\p{{Lu}}\p{{Ll}}]])", rf"$1{JOIN}"),
 ]
-#: Between the sentences of one quotation, for texts that have its closing mark.
+#: Between the sentences of one quotation, for texts with a quotation of several.
 INNER = [
-    (rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[\s\p{{L}}\p{{N}}“„\"'(（])(?=[^“”{END}]{{1,500}}+[”])", rf"$1{JOIN}", "”"),
-    (rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[\s\p{{L}}\p{{N}}])(?=[^«»{END}]{{1,500}}+»)", rf"$1{JOIN}", "»"),
-    (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}+[」』])", rf"$1{JOIN}", "」"),
+    (rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[\s\p{{L}}\p{{N}}“„\"'(（])(?=[^“”{END}]{{1,500}}+[”])", rf"$1{JOIN}", rf"“[^“”{END}]{{1,500}}?[.!?。！？؟।][\s\p{{L}}\p{{N}}“„\"'(（][^“”{END}]{{0,500}}+”"),
+    (rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[\s\p{{L}}\p{{N}}])(?=[^«»{END}]{{1,500}}+»)", rf"$1{JOIN}", rf"«[^«»{END}]{{1,500}}?[.!?。！？؟।](?!\s?»)[\s\p{{L}}\p{{N}}][^«»{END}]{{0,500}}+»"),
+    (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}+[」』])", rf"$1{JOIN}", rf"[「『][^「」『』{END}]{{1,500}}?[。！？][^「」『』{END}]{{1,500}}+[」』]"),
 ]
 
 _LATIN_END = rf"(?:[.!?؟।۔։]+|…+|(?<=\p{{IsGreek}});)(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
@@ -99,10 +99,9 @@ def marked(df: DataFrame, key: str, text: str, by_line: Column) -> DataFrame:
     t = F.translate(raw, DOT + END + JOIN, SPARE)
     t = F.when(F.col("_line"), F.regexp_replace(t, r"\n", END + "\n")).otherwise(_apply(t, PARAGRAPHS))
     # one projection for each choice, as an expression used twice in one would run twice
-    out = df.select(key, text, by_line.alias("_line"), *[raw.contains(m).alias(f"_q{i}") for i, (_, _, m) in enumerate(INNER)])
-    out = out.withColumn("_t", t).withColumn("_t", _apply(_apply(F.col("_t"), MASKS), JOINS))
-    for i, (pattern, to, _) in enumerate(INNER):
-        out = out.withColumn("_t", F.when(F.col(f"_q{i}"), _apply(F.col("_t"), [(pattern, to)])).otherwise(F.col("_t")))
+    out = df.select(key, by_line.alias("_line"), raw.alias(text)).withColumn("_t", t).withColumn("_t", _apply(_apply(F.col("_t"), MASKS), JOINS))
+    for pattern, to, several in INNER:
+        out = out.withColumn("_t", F.when(F.col("_t").rlike("(?U)" + several), _apply(F.col("_t"), [(pattern, to)])).otherwise(F.col("_t")))
     out = out.withColumn("_t", _apply(F.col("_t"), ENDS))
     return out.select(key, F.when(F.col("_line"), _apply(F.col("_t"), LINE_ENDS)).otherwise(F.col("_t")).alias("_t"))
 
