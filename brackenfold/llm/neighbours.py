@@ -19,15 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brackenfold.operators.skew import lookup_join
+from brackenfold.tables import checkpoint
 
 #: Rows that cells and codebooks are fitted on, at most. Everything else covers all rows.
 SAMPLE_ROWS = 120_000
 #: Rows a cell should hold, cells at most, and rows of a cell that one task scans at most.
-CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 2_000, 4_096, 20_000
-#: Cells each query is sent to.
-PROBES = 3
-#: Values of a code (four bits), dimensions it stands for.
-CODES, SUB = 16, 2
+CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 2_500, 4_096, 20_000
+#: A query is sent to the cells whose centre is less similar by MARGIN at most than the best one, PROBES at most.
+PROBES, MARGIN = 6, 0.25
+#: Rows of the sample that codebooks are fitted on.
+CODE_ROWS = 10_000
+#: Values of a code (four bits), dimensions it stands for. Two dimensions a code hide every eighth neighbour from the scan.
+CODES, SUB = 16, 1
 #: Inner products from here on count in the score-aware loss.
 THRESHOLD = 0.2
 #: Candidates reranked exactly: so many groups of so many neighbouring rows at first, then so many rows.
@@ -91,7 +94,7 @@ class Codec:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return self.books[np.arange(self.parts), codes].reshape(len(codes), -1)[:, : self.dims]
 
-    def fit(self, x: np.ndarray, residual: np.ndarray, rounds: int = 4, seed: int = 7) -> Codec:
+    def fit(self, x: np.ndarray, residual: np.ndarray, rounds: int = 3, seed: int = 7) -> Codec:
         xs, rs = self._split(x).astype(np.float64), self._split(residual).astype(np.float64)
         rng = np.random.default_rng(seed)
         for s in range(self.parts):
@@ -180,13 +183,13 @@ def nearest(df: DataFrame, item: str = "lsn", vector: str = "vector_data", dims:
     kept, of the same k. Items with equal vectors are searched as one and share
     the result, so that thousands of copies cost no more than one.
 
-    Approximate: a neighbour is missed if its cell isn't among the ``probes``
-    cells nearest to the item, or if its code hides it; tests hold recall to 0.9.
+    Approximate: a neighbour is missed if its cell isn't among those the item is
+    sent to (see MARGIN), or if its code hides it; tests hold recall to 0.9.
     """
     base = usable(df, item, vector, dims)
     item_type = base.schema["item"].dataType.simpleString()
     # copies become one vector, named by its smallest item
-    groups = base.groupBy("vector").agg(F.min("item").alias("v"), F.max("item").alias("last"), F.count("*").alias("n"))
+    groups = checkpoint(base.groupBy("vector").agg(F.min("item").alias("v"), F.max("item").alias("last"), F.count("*").alias("n")))
     pairs = _search(groups.select("v", "vector"), item_type, dims, k, min_score, probes)
     many = groups.where("v < last").select(F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"), "v", "n")
     members = lookup_join(base.select(F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"), "item"), many, ["h1", "h2"], "n").select("v", "item").distinct()
@@ -223,8 +226,8 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
         sample = unit(np.array(vectors.first()["vector"], np.float32), dims).astype(np.float32)
     centres = kmeans(sample, max(1, min(MAX_CELLS, n // CELL_ROWS, len(sample) // 20)))
     near = np.concatenate([(p @ centres.T).argmax(axis=1) for p in np.array_split(sample, math.ceil(len(sample) / 8192))])
-    fit = sample[:20_000]
-    codec = Codec(dims).fit(fit, fit - centres[near[:20_000]])
+    fit = sample[:CODE_ROWS]
+    codec = Codec(dims).fit(fit, fit - centres[near[:CODE_ROWS]])
     model = spark.sparkContext.broadcast((centres, codec.books))
     probes = min(probes, len(centres))
 
@@ -234,10 +237,12 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
             flat = b.column("vector").flatten().to_numpy(zero_copy_only=False)
             x = unit(flat, dims).astype(np.float32)
             score = x @ c.T
-            top = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.argsort(-score, axis=1)
-            home = score.argmax(axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+            near = np.take_along_axis(score, top, axis=1)
             for j in range(probes):
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("vector"), pa.array(top[:, j], pa.int32()), pa.array(top[:, j] == home)], ["v", "vector", "cell", "member"])
+                sent = np.flatnonzero(near[:, j] >= near[:, 0] - MARGIN)
+                part = b.take(pa.array(sent))
+                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("vector"), pa.array(top[sent, j], pa.int32()), pa.array(np.full(len(sent), j == 0))], ["v", "vector", "cell", "member"])
 
     sent = vectors.mapInArrow(assign, f"v {item_type}, vector array<float>, cell int, member boolean")
     # cells are bounded in number; one with more rows than a task should scan is scanned in blocks
