@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 DOT, END, JOIN = "", "", ""
 SPARE = ""
 
+# The code points with the Unicode property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Abbreviations of the languages covered, without their last full stop.
 #: before a name or another word; never at the end of a sentence
 ALWAYS = """Dr Mr Mrs Ms Prof St Sr Sra Srta Dra Dña Mme Mlle Mgr Hr Fr Frau Проф проф акад им κ κα Δρ د أ डॉ श्री प्रो मि.से
@@ -37,24 +40,24 @@ _NAME = rf"(?:[\p{{Ll}}\d]+_[\w-]*\w(?:[.({DOT}]|(?=\s))|v\d|[\w-]+[.{DOT}](?:md
 _LOWER = rf"(?=\s+(?!{_NAME})[\p{{Ll}}])"
 _OPEN, _CLOSE = "\"“„«‘'‚‹「『《(（\\[", "\"”“’»›'」』》)）\\]"
 
-#: (pattern, replacement), in this order.
-MASKS = [
-    # the full stop comes first in each pattern, so that look-behinds run only where there is one
+#: Full stops that end nothing, in one pattern: the full stop comes first, so that look-behinds run only where there is one.
+_NO_END = [
     # URLs, mail addresses, file names, version numbers, decimals: a full stop inside a word
-    (r"\.(?=[\p{L}\p{N}_/])(?<=[\p{L}\p{N}_/]\.)", DOT),
+    r"(?=[\p{L}\p{N}_/])(?<=[\p{L}\p{N}_/]\.)",
     # initials: one capital, or capitals with full stops
-    (rf"\.(?=[\s\p{{Lu}}-])(?!\s*\n\s*\n)(?<=\p{{Lu}}\.)(?<={_START}.\.)", DOT),
-    (rf"\.(?=\s)(?<={DOT}\p{{Lu}}\.)", DOT),
-    (rf"\.(?=[\s-])(?<={_START}(?:{_any(ALWAYS)})\.)", DOT),
-    (rf"\.(?=\s*\p{{N}})(?<={_START}(?:{_any(BEFORE_NUMBER)})\.)", DOT),
-    (rf"\.(?=\s*[\p{{N}}\p{{Ll}}])(?<=[’'](?:art|fig|al|éd)\.)", DOT),
-    (rf"\.{_LOWER}(?<={_START}(?:{_any(MAYBE_LAST)})\.)", DOT),
+    rf"(?=[\s\p{{Lu}}-])(?!\s*\n\s*\n)(?<=\p{{Lu}}\.)(?<={_START}.\.)",
+    rf"(?=\s)(?<=\p{{L}}[.{DOT}]\p{{Lu}}\.)",
+    rf"(?=[\s-])(?<={_START}(?:{_any(ALWAYS)})\.)",
+    rf"(?=\s*\p{{N}})(?<={_START}(?:{_any(BEFORE_NUMBER)})\.)",
+    r"(?=\s*[\p{N}\p{Ll}])(?<=[’'](?:art|fig|al|éd)\.)",
     # one small letter and more text: т. е., z. B., p. ex., but not "0.5 h. The"
-    (rf"\.{_LOWER}(?<=\p{{Ll}}\.)(?<={_START}.\.)", DOT),
-    (rf"\.(?=\s[BhaAÄ]\b)(?<=[zdu]\.)(?<={_START}.\.)", DOT),
+    rf"{_LOWER}(?:(?<={_START}(?:{_any(MAYBE_LAST)})\.)|(?<=\p{{Ll}}\.)(?<={_START}.\.))",
+    r"(?=\s[BhaAÄ]\b)(?<=[zdu]\.)" + rf"(?<={_START}.\.)",
     # German dates
-    (rf"\.(?=\s+(?:{_any(MONTHS)})\b)(?<=\b\d{{1,2}}\.)", DOT),
+    rf"(?=\s+(?:{_any(MONTHS)})\b)(?<=\b\d{{1,2}}\.)",
 ]
+#: (pattern, replacement), in this order.
+MASKS = [(rf"\.(?:{'|'.join(_NO_END)})", DOT)]
 
 #: What joins a quotation to the words that report it, where letters have no case to tell.
 _REPORT_LEFT = r"(?:(?<=^.)|(?<=[\n。！？｡”」』）…].)|(?<=[.!?؟।۔…»”\")][ \n].)|(?<=[-*•#] .))"
@@ -69,22 +72,20 @@ INNER = [
     (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}+[」』])", rf"$1{JOIN}", rf"[「『][^「」『』{END}]{{1,500}}?[。！？][^「」『』{END}]{{1,500}}+[」』]"),
 ]
 
-_LATIN_END = rf"(?:[.!?؟।۔։]+|…+|(?<=\p{{IsGreek}});)(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
-ENDS = [
+_LATIN_END = rf"(?:[.!?؟।۔։]+|…+|;(?<=\p{{IsGreek}};))(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
+_ENDS = [
     # scripts written with spaces: terminator, closing marks, blank, and no word that goes on
-    (rf"({_LATIN_END})(?=\s+(?![—–―]\s)(?![»›])(?:(?!\p{{Ll}})\S|{_NAME}))", rf"$1{END}"),
+    rf"{_LATIN_END}(?=\s+(?![—–―]\s)(?![»›])(?:(?!\p{{Ll}})\S|{_NAME}))",
     # ideographic terminators need no blank
-    (rf"((?:[。！？｡]+|(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー])…+)(?!{JOIN})[”’」』》）]*+(?!{JOIN}))(?![。！？｡…”’」』》）、，,；;：]|と|って)", rf"$1{END}"),
+    rf"(?:[。！？｡]+|…(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー].)…*)(?!{JOIN})[”’」』》）]*+(?!{JOIN})(?![。！？｡…”’」』》）、，,;；：]|と|って)",
     # Thai, Lao, Khmer and Burmese: a blank between two words of the script, or before a capital
-    (r"([ \n])(?=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Lu}“«])(?<=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}].)", END + "$1"),
+    r"[ \n](?=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Lu}“«])(?<=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}].)",
 ]
+ENDS = [("|".join(_ENDS), f"$0{END}")]
 #: In texts with a unit per line, a sentence may also go on in small letters after a single mark.
 LINE_ENDS = [(rf"((?<![.{DOT}])(?:\.|[?!]+)(?!{JOIN}))(?=\s+\p{{Ll}})", rf"$1{END}")]
-PARAGRAPHS = [
-    (r"(\n[ \t]*(?=\n))", rf"{END}$1"),
-    (r"(\n[ \t]*(?=(?:[-*•+‣]|#{1,6})\s))", rf"{END}$1"),
-    (r"((?:^|\n)#{1,6}\s[^\n]*)(?=\n)", rf"$1{END}"),
-]
+#: Blank lines, list entries, and headings from their mark to the end of the line.
+PARAGRAPHS = [(r"\n[ \t]*(?=\n|(?:[-*•+‣]|#{1,6})\s)|#(?<![^\n]#)#{0,5}\s[^\n]*(?=\n)", f"$0{END}")]
 
 
 def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -117,7 +118,7 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: C
     the same key gives its units.
     """
     by_line = F.lit(False) if by_line is None else F.coalesce(by_line, F.lit(False))
-    parts = F.split(F.regexp_replace("_t", JOIN, ""), END)
+    parts = F.split(F.translate("_t", JOIN, ""), END)
     # cumulative lengths, in one pass
     ends = F.aggregate(
         F.transform("_parts", lambda p: F.char_length(p)),
@@ -125,18 +126,17 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: C
         lambda s, n: F.struct(F.array_append(s["at"], s["n"]).alias("at"), (s["n"] + n).alias("n")),
         lambda s: s["at"],
     )
-    blank = r"(?U)^\s+"
     return (
         marked(df.where(F.col(text).isNotNull()), key, text, by_line)
         .select(F.col(key), parts.alias("_parts"))
         .select(key, "_parts", ends.alias("_at"))
         .select(key, F.explode(F.arrays_zip("_parts", "_at")).alias("_u"))
-        .select(key, F.col("_u._at").alias("_at"), F.col("_u._parts").alias("_p"), F.regexp_replace("_u._parts", blank, "").alias("_l"))
+        .select(key, F.col("_u._at").alias("_at"), F.col("_u._parts").alias("_p"), F.ltrim("_u._parts", F.lit(BLANKS)).alias("_l"))
         .where(F.col("_l") != "")
         .select(
             key,
             (F.col("_at") + F.char_length("_p") - F.char_length("_l")).alias("start_char"),
-            F.translate(F.regexp_replace("_l", r"(?U)\s+$", ""), DOT + SPARE, "." + DOT + END + JOIN).alias("sentence"),
+            F.translate(F.rtrim("_l", F.lit(BLANKS)), DOT + SPARE, "." + DOT + END + JOIN).alias("sentence"),
         )
         .select(key, "start_char", (F.col("start_char") + F.char_length("sentence")).alias("end_char"), "sentence")
     )
