@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,13 +250,13 @@ def find_garbled(df: DataFrame, text: str = "text") -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[[SUSPECT.search(t) is not None for t in b[text]]]
+            b = b[np.array([SUSPECT.search(t) is not None for t in b[text]], bool)]
             got = [repair(t) for t in b[text]]
-            keep = [g[0] for g in got]
+            keep = np.array([g[0] for g in got], bool)
             got = [g for g in got if g[0]]
             out = b[keep].copy()
             for k, name in enumerate(made, 1):
-                out[name] = [g[k] for g in got]
+                out[name] = pd.Series([g[k] for g in got], index=out.index, dtype="int32" if name.startswith("cost") else object)
             yield out
 
     return beyond.mapInPandas(look, schema)

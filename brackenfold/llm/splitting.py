@@ -19,7 +19,7 @@ JAVA_WORD = r"[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{20
 BOUNDARIES = ("word", "clause", "line", "sentence", "block end", "paragraph")
 ENDS = re.compile(r"[.!?…。！？؟।॥｡۔;;}\])]*[.!?…。！？؟।॥｡۔][\"'”’»)\]」』）]*$")
 CLAUSE = re.compile(r"[,;:،、，；：—–]$")
-ABBREVIATED = re.compile(r"(?:^|[(\"“„«'])(?:[^\W\d_]|[^\W\d_]{1,4}|(?:[^\W\d_]\.)+[^\W\d_])\.$")
+ABBREVIATED = re.compile(r"(?:^|[(\"“„«'])(?:[^\W\d_]|(?:[^\W\d_]\.)+[^\W\d_]|(?:Dr|Mr|Mrs|Ms|Prof|Sra?|Dra|St|No|Nr|Figs?|Secs?|Abb|vs|cf|vgl|bzw|ca|approx|aprox|pág|Проф|см|рис|стр|bkz|vb|σελ))\.$")
 LIST_MARK = re.compile(r"(?:[-*+•#]+|\d+[.)]|//|/\*|#.*)$")
 
 
