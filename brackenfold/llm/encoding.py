@@ -58,8 +58,8 @@ def sequence(codec: str) -> re.Pattern:
 
 
 HIGH = _cls(list(bytes_of("cp1252")))
-#: Tokens that may be another encoding read as Latin-1: three high characters at least, some in a row.
-HIGH_RUN = re.compile(rf"\S*{HIGH}{{3}}\S*")
+#: In a word that may be another encoding read as Latin-1.
+HIGH_RUN, HIGH_ONE, TOKEN = re.compile(HIGH + "{3}"), re.compile(HIGH), re.compile(r"\S+")
 CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 #: What is left of a sequence whose second byte became a blank: "à" and, in a text with other signs, a no-break space.
 ORPHAN = re.compile(r"(?:(?<=\s)|(?<=[a-zà-ÿ])|^)Ã(?=\s)")
@@ -142,7 +142,7 @@ def _script_share(text: str, codec: str) -> float:
         if not words or any(any(c.isascii() for c in w) for w in words) or sum(c.isupper() for w in words for c in w[1:]) > 0:
             return 0.0
         low = [c for w in words for c in w.lower()]
-        if any(c not in order for c in low):
+        if any(c not in order for c in low) or len(low) > 9 and len(set(low)) < 4:
             return 0.0
         return 1 - sum(order.index(c) for c in low) / len(low) / len(order)
     ok = 0.0
@@ -162,9 +162,9 @@ def _script_share(text: str, codec: str) -> float:
 def swap_layer(text: str) -> tuple[str, int, str]:
     """(text, characters restored, codec) where another encoding was read as Latin-1 or Windows Latin-1."""
     table = bytes_of("cp1252")
-    tokens = list(HIGH_RUN.finditer(text))
-    if not tokens:
+    if not HIGH_RUN.search(text):
         return text, 0, ""
+    tokens = [m for m in TOKEN.finditer(text) if HIGH_RUN.search(m[0])]
     best = (0.0, text, 0, "")
     for codec in WRITTEN:
         out, at, n, worth = [], 0, 0, 0.0
@@ -190,17 +190,19 @@ def swap_layer(text: str) -> tuple[str, int, str]:
         return text, 0, ""
     # the encoding is known now: shorter words are judged by it alone
     def short(m: re.Match) -> str:
+        if not HIGH_ONE.search(m[0]):
+            return m[0]
         try:
             new = bytes(ord(c) if c.isascii() else table[c] for c in m[0]).decode(best[3])
         except (KeyError, UnicodeDecodeError):
             return m[0]
         return new if _script_share(new, best[3]) >= (0.1 if best[3] in FREQUENT else 0.7) else m[0]
 
-    return re.sub(rf"\S*{HIGH}\S*", short, best[1]), best[2], best[3]
+    return TOKEN.sub(short, best[1]), best[2], best[3]
 
 
 #: Sequences that make a text worth a closer look, in one pass.
-SUSPECT = re.compile("�|" + CONTROL.pattern + "|" + ORPHAN.pattern + "|" + HIGH_RUN.pattern[3:-3] + "|" + "|".join(sequence(c).pattern for c in LEGACY))
+SUSPECT = re.compile("�|" + CONTROL.pattern + "|" + ORPHAN.pattern + "|" + HIGH_RUN.pattern + "|" + "|".join(sequence(c).pattern for c in LEGACY))
 
 
 def repair(text: str) -> tuple[bool, str, list[str], int, int]:

@@ -73,7 +73,7 @@ def test_lost_characters_are_named():
 
 
 def test_operator(spark):
-    rows = [(1, "cachÃ©", "x", 1), (1, "cachÃ©", "x", 1), (2, None, "y", 2), (3, "", None, 3), (4, "naïve", "z", 4), (5, "é" * 100_000, "w", 5), (6, "d�j�", "v", None)]
+    rows = [(1, "cachÃ©", "x", 1), (1, "cachÃ©", "x", 1), (2, None, "y", 2), (3, "", None, 3), (4, "naïve", "z", 4), (5, "naïve " * 30_000 + "x" * 100_000, "w", 5), (6, "d�j�", "v", None)]
     got = en.find_garbled(spark.createDataFrame(rows, "vec_id int, text string, restored string, cost_before int"))
     assert got.columns == ["vec_id", "text", "restored_in", "cost_before_in", "restored", "layers", "cost_before", "cost_after"]
     assert sorted((r["vec_id"], r["restored"], r["cost_after"]) for r in got.collect()) == [(1, "caché", 0), (1, "caché", 0), (6, "d�j�", 2)]
