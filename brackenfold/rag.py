@@ -64,7 +64,7 @@ class RagEngine:
 
     def _folder(self, df: DataFrame, columns) -> str:
         name = f"data/{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in columns], F.lit(self.version + 1).alias("version")).write.parquet(f"{self.path}/{name}")
+        df.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in columns], F.lit(self.version + 1).alias("version")).write.parquet(f"{self.path}/{name}")
         return name
 
     def _table(self, name: str, schema) -> DataFrame:

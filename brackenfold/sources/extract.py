@@ -103,7 +103,7 @@ def office(content: bytes, kind: str) -> str:
 
 
 _STREAM = re.compile(rb"<<(?P<head>.*?)>>\s*stream\r?\n(?P<body>.*?)\r?\n?endstream", re.S)
-_SHOW = re.compile(rb"\((?P<s>(?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[(?P<a>(?:[^\]\\]|\\.)*)\]\s*TJ|(?P<nl>\bT[*dDm]\b|\bET\b)", re.S)
+_SHOW = re.compile(rb"\((?P<s>(?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[(?P<a>(?:[^\]\\]|\\.)*)\]\s*TJ|(?P<nl>\bT\*|\bT[dDm]\b|\bET\b)", re.S)
 _PART = re.compile(rb"\(((?:[^()\\]|\\.)*)\)", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 

@@ -105,7 +105,7 @@ class VectorTable:
 
     def _write(self, log: DataFrame) -> str:
         part = f"data/{uuid.uuid4().hex}"
-        log.select(*[F.col(f.name).cast(f.dataType) for f in s.OPLOG]).write.parquet(f"{self.path}/{part}")
+        log.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in s.OPLOG]).write.parquet(f"{self.path}/{part}")
         return part
 
     def _append(self, log: DataFrame, ids: int, lsns: int) -> None:

@@ -15,7 +15,7 @@ from brackenfold.sources import files as fs
 def watch_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (source, content, content_hash) of new files with an accepted extension."""
     # the schema of binaryFile is fixed
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    raw = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").load(path)
     read = raw.select(F.regexp_replace("path", "^file:(//)?", "").alias("source"), "content")
     return read.where(tx.supported_extension("source")).withColumn("content_hash", tx.content_hash("content"))
 
