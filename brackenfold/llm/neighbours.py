@@ -157,7 +157,7 @@ def scan(queries: np.ndarray, exact: np.ndarray, members: np.ndarray, coded: np.
             at, found = np.take_along_axis(at, pick, axis=1), np.take_along_axis(found, pick, axis=1)
         real = found > -8
         score = np.einsum("qd,qcd->qc", exact[lo : lo + step], members[np.where(real, at, 0)])
-        score[~real] = -2
+        score = np.where(real, np.round(score, 9), -2)  # sums in another order differ in the last digits: ties stay ties
         order = np.lexsort((at, -score), axis=1)[:, :k]
         score, at = np.take_along_axis(score, order, axis=1), np.take_along_axis(at, order, axis=1)
         m = score.shape[1]
@@ -281,7 +281,7 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
         places, scores = scan(q.astype(np.float32), q, m, coded, own, k)
         keep = (places >= 0) & (scores >= (-2 if min_score is None else min_score))
         qi, ki = np.nonzero(keep)
-        return pa.table({"v": pa.array(v[query[qi]]).cast(ids.type), "w": pa.array(v[member[places[qi, ki]]]).cast(ids.type), "score": np.minimum(1.0, scores[qi, ki])})
+        return pa.table({"v": pa.array(v[query[qi]]).cast(ids.type), "w": pa.array(v[member[places[qi, ki]]]).cast(ids.type), "score": np.clip(scores[qi, ki], -1, 1)})
 
     hits = sent.groupBy("cell", "i", "j").applyInArrow(search, f"v {item_type}, w {item_type}, score double")
     by_rank = Window.partitionBy("v").orderBy(F.col("score").desc(), "w")
