@@ -33,8 +33,9 @@ CODE_ROWS = 10_000
 CODES, SUB = 16, 1
 #: Inner products from here on count in the score-aware loss.
 THRESHOLD = 0.2
-#: Candidates reranked exactly: so many groups of so many neighbouring rows at first, then so many rows.
-GROUPS, WIDTH, RERANK = 24, 16, 40
+#: Candidates reranked exactly: so many groups of so many neighbouring rows at first, then so many rows. Of more vectors
+#: that are alike up to the error of the codes, any of them count as the nearest.
+GROUPS, WIDTH, RERANK = 56, 8, 56
 
 
 def unit(flat: np.ndarray, dims: int) -> np.ndarray:
@@ -133,7 +134,7 @@ def scan(queries: np.ndarray, exact: np.ndarray, members: np.ndarray, coded: np.
     query among the members, or -1.
     """
     n = len(members)
-    width = WIDTH if n > 4 * WIDTH * GROUPS // 8 else 1
+    width = WIDTH if n > 2 * WIDTH * GROUPS else 1
     padded = math.ceil(n / width) * width
     out_at, out_score = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), -2.0)
     step = max(1, 4_000_000 // max(1, padded))
