@@ -6,6 +6,7 @@ import hashlib
 import logging
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -90,31 +91,34 @@ class HashingEmbedder:
     name: str = "feature-hashing"
 
     def column(self, text: Column) -> Column:
-        tokens = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-        # signed bucket numbers from 1, sorted, and their runs summed into a dense array
-        signed = F.transform(tokens, lambda t: F.struct(F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(self.dim)).cast("int").alias("b"), F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).cast("float").alias("s")))
-        return _dense(signed, self.dim)
+        dim = self.dim
+
+        @pandas_udf("array<float>")
+        def embed(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else hashed(t, dim))
+
+        return embed(text)
 
     def query(self, text: str) -> list[float]:
-        out = [0.0] * self.dim
-        for t in re.findall(r"[^\W]+", text.lower()):
-            h = hashlib.md5(t.encode()).hexdigest()
-            out[int(h[:8], 16) % self.dim] += 1.0 if int(h[8], 16) % 2 == 0 else -1.0
-        return out
+        return hashed(text, self.dim).tolist()
+
+
+WORD = re.compile(r"\w+")
 
 
-def _dense(signed: Column, dim: int) -> Column:
-    @pandas_udf("array<float>")
-    def scatter(pairs: pd.Series) -> pd.Series:
-        def one(p):
-            v = np.zeros(dim, np.float32)
-            for x in p:
-                v[x["b"]] += x["s"]
-            return v
+@lru_cache(maxsize=1 << 18)
+def feature(word: str, dim: int) -> tuple[int, int]:
+    """(bucket, sign) of a word; each worker hashes a word once."""
+    h = hashlib.md5(word.encode()).hexdigest()
+    return int(h[:8], 16) % dim, 1 - 2 * (int(h[8], 16) % 2)
 
-        return pairs.map(one)
 
-    return scatter(signed)
+def hashed(text: str, dim: int) -> np.ndarray:
+    found = [feature(w, dim) for w in WORD.findall(text.lower())]
+    if not found:
+        return np.zeros(dim, np.float32)
+    at, sign = zip(*found)
+    return np.bincount(at, weights=sign, minlength=dim).astype(np.float32)
 
 
 def resolve(name: str, dim: int = 384) -> Embedder:
