@@ -72,3 +72,22 @@ def test_score_aware_codes_beat_plain_ones():
 def test_huge_and_tiny_values():
     x = nb.unit(np.array([1e38, 0, 1e-38, 1e-38], np.float32), 2)
     assert np.allclose(np.linalg.norm(x, axis=1), 1)
+
+
+@pytest.mark.parametrize("least", [-2.0, 0.9])
+def test_scan_of_a_large_family_is_exact(least):
+    r = np.random.default_rng(3)
+    x = np.concatenate([data(1500, 1, 64), r.normal(size=64) + 0.03 * r.normal(size=(600, 64))]).astype("f4")
+    x = nb.unit(x.ravel(), 64)
+    x32 = x.astype("f4")
+    centre = x32.mean(axis=0)
+    codec = nb.Codec(64).fit(x32[:1500], x32[:1500] - centre)
+    coded = centre + codec.decode(codec.encode(x32, x32 - centre))
+    ask = np.arange(1400, 2100)
+    at, score = nb.scan(x32[ask], x[ask], x, coded, ask, 10, least)
+    s = np.round(x[ask] @ x.T, 9)
+    s[np.arange(len(ask)), ask] = -3
+    want = np.argsort(-s, axis=1, kind="stable")[:, :10]
+    counts = np.take_along_axis(s, want, axis=1) >= least
+    assert counts[100:].all() and (at == want)[counts].all()
+    assert np.allclose(score[counts], np.take_along_axis(s, want, axis=1)[counts])
