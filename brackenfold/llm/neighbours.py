@@ -25,8 +25,11 @@ from brackenfold.tables import checkpoint
 SAMPLE_ROWS = 120_000
 #: Rows a cell should hold, cells at most, and rows of a cell that one task scans at most.
 CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 2_500, 4_096, 20_000
-#: A query is sent to the cells whose centre is less similar by MARGIN at most than the best one, PROBES at most.
-PROBES, MARGIN = 6, 0.25
+#: A query is sent to the cells whose centre is less similar by a margin at most than the best one, and to so many at most:
+#: PROBES and MARGIN, or what more it takes with these cells for TARGET of the k nearest (see ``reach``).
+PROBES, MARGIN, TARGET = 6, 0.25, 0.95
+#: Rows of the sample whose neighbours in the sample tell that.
+ASK_ROWS = 1_000
 #: Rows of the sample that codebooks are fitted on.
 CODE_ROWS = 10_000
 #: Values of a code (four bits), dimensions it stands for. Two dimensions a code hide every eighth neighbour from the scan.
@@ -59,6 +62,38 @@ def kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndar
     return centres.astype(np.float32)
 
 
+def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, probes: int = PROBES) -> tuple[int, float]:
+    """(probes, margin) that send a query to the cells of TARGET of its k nearest, with the fewest cells a query.
+
+    Told by the neighbours of rows of the sample in the sample. In the whole
+    table they are nearer, so that the share is rather higher there.
+    """
+    ask = np.linspace(0, len(sample) - 1, min(ASK_ROWS, len(sample))).astype(int)
+    k = min(k, len(sample) - 1)
+    probes = min(probes, len(centres))
+    if k < 1 or len(centres) == 1:
+        return probes, MARGIN
+    cells = []
+    for part in np.array_split(ask, math.ceil(len(ask) / 32)):
+        s = sample[part] @ sample.T
+        s[np.arange(len(part)), part] = -3
+        cells.append(near[np.argpartition(s, -k, axis=1)[:, -k:]])
+    home = np.concatenate(cells)
+    to = sample[ask] @ centres.T
+    rank = np.argsort(np.argsort(-to, axis=1, kind="stable"), axis=1)
+    lag = to.max(axis=1, keepdims=True) - to
+    of, gap = np.take_along_axis(rank, home, axis=1), np.take_along_axis(lag, home, axis=1)
+    best = (math.inf, len(centres), 2.0)
+    p = probes
+    while True:
+        for m in (MARGIN, 0.3, 0.35, 0.4, 0.5, 0.7, 2.0):
+            if ((of < p) & (gap <= m)).mean() >= TARGET:
+                best = min(best, (float(((rank < p) & (lag <= m)).sum(axis=1).mean()), p, m))
+        if p >= len(centres):
+            return best[1:]
+        p = min(len(centres), math.ceil(p * 1.2))
+
+
 class Codec:
     """Product codes of residuals, four bits for each pair of dimensions, under the anisotropic loss."""
 
@@ -231,13 +266,15 @@ def nearest(df: DataFrame, item: str = "lsn", vector: str = "vector_data", dims:
     the result, so that thousands of copies cost no more than one.
 
     Approximate: a neighbour is missed if its cell isn't among those the item is
-    sent to (see MARGIN); within these cells none is. Tests hold recall to 0.9.
+    sent to (``probes`` at least, see ``reach``); within these cells none is. Tests
+    hold recall to 0.9.
     """
     base = usable(df, item, vector, dims)
     item_type = base.schema["item"].dataType.simpleString()
     # copies become one vector, named by its smallest item
     groups = checkpoint(base.groupBy("vector").agg(F.min("item").alias("v"), F.max("item").alias("last"), F.count("*").alias("n")))
-    pairs = _search(groups.select("v", "vector"), item_type, dims, k, min_score, probes)
+    # written once: it is read twice below, and the search would run for each
+    pairs = checkpoint(_search(groups.select("v", "vector"), item_type, dims, k, min_score, probes))
     many = groups.where("v < last").select(F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"), "v", "n")
     members = lookup_join(base.select(F.xxhash64("vector").alias("h1"), F.hash("vector").alias("h2"), "item"), many, ["h1", "h2"], "n").select("v", "item").distinct()
     # of a group of copies only its k + 1 smallest items can be anyone's neighbours
@@ -276,7 +313,7 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
     fit = sample[:CODE_ROWS]
     codec = Codec(dims).fit(fit, fit - centres[near[:CODE_ROWS]])
     model = spark.sparkContext.broadcast((centres, codec.books))
-    probes = min(probes, len(centres))
+    probes, margin = reach(sample, near, centres, k, probes)
 
     def assign(batches):
         c = model.value[0]
@@ -287,7 +324,7 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
             top = np.argsort(-score, axis=1, kind="stable")[:, :probes]
             near = np.take_along_axis(score, top, axis=1)
             for j in range(probes):
-                sent = np.flatnonzero(near[:, j] >= near[:, 0] - MARGIN)
+                sent = np.flatnonzero(near[:, j] >= near[:, 0] - margin)
                 part = b.take(pa.array(sent))
                 yield pa.RecordBatch.from_arrays([part.column("v"), part.column("vector"), pa.array(top[sent, j], pa.int32()), pa.array(np.full(len(sent), j == 0))], ["v", "vector", "cell", "member"])
 

@@ -91,3 +91,15 @@ def test_scan_of_a_large_family_is_exact(least):
     counts = np.take_along_axis(s, want, axis=1) >= least
     assert counts[100:].all() and (at == want)[counts].all()
     assert np.allclose(score[counts], np.take_along_axis(s, want, axis=1)[counts])
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_ROWS", 50)
+    x = data(3000, 2, 16, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    got = nb.nearest(df, dims=16, k=10).where("item % 20 = 0").toPandas()
+    y = nb.unit(x.ravel(), 16)
+    s = y[::20] @ y.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -3
+    want = {(20 * i, int(j)) for i, js in enumerate(np.argsort(-s, axis=1)[:, :10]) for j in js}
+    assert len(set(zip(got.item, got.neighbour)) & want) / len(want) >= 0.9
