@@ -53,12 +53,15 @@ def p7_found(spark, d):
 
 
 def p8_sentences(spark, d):
-    docs = table(spark, d, "documents").where(F.col("kind").isin("prose", "note"))
-    return sentences.sentences(docs, "doc_id", "text", by_line=F.col("kind") == "note")
+    return _sentences(table(spark, d, "documents"))
 
 
 def p8_found(spark, d):
-    return p8_sentences(spark, d).select("doc_id", "end_char")
+    return _sentences(table(spark, d, "documents").where(F.col("kind").isin("prose", "note"))).select("doc_id", "end_char")
+
+
+def _sentences(docs):
+    return sentences.sentences(docs, "doc_id", "text", by_line=F.col("kind") == "note")
 
 
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}

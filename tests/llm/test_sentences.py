@@ -56,3 +56,14 @@ def test_nulls_long_and_extra_columns(spark):
     counts = {r["doc_id"]: r["count"] for r in sentences(df).groupBy("doc_id").count().collect()}
     assert counts == {None: 2, 2: 4, 3: 3000}
     assert sentences(df.where("false")).count() == 0
+
+
+def test_query_covers_all_kinds(spark, tmp_path):
+    from brackenfold.llm import queries_text as qt
+
+    kinds = ["prose", "note", "page", "code", "dump", None]
+    rows = [(i, "One here. Two here.", k) for i, k in enumerate(kinds)] + [(9, "  ", "page")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    count = lambda q: {r["doc_id"]: r["count"] for r in q(spark, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert count(qt.p8_sentences) == {i: 2 for i in range(6)}
+    assert count(qt.p8_found) == {0: 2, 1: 2}
