@@ -20,6 +20,8 @@ from brackenfold.functions import vectors as v
 
 #: Bytes of query vectors that are sent to all tasks at once; more queries go in blocks.
 QUERY_BLOCK_BYTES = 16 << 20
+#: Distances that a task holds at a time.
+PAIRS = 2_000_000
 
 
 def check_query(query: list[float], dim: int) -> None:
@@ -112,12 +114,14 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str
                 continue
             ids = b.column(0).to_pylist()
             y = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            sim = np.clip((x @ y.T) / qn[:, None] / np.sqrt((y * y).sum(axis=1)), -1, 1)
-            dist = (1 - sim).astype(np.float32)
+            yn = np.sqrt((y * y).sum(axis=1))
             order = np.argsort(np.array(ids, dtype=object) if isinstance(ids[0], str) else np.array(ids), kind="stable")
             take = min(len(ids), k + 1)
+            step = max(1, PAIRS // len(ids))
             for qi in range(len(names)):
-                d = dist[qi]
+                if qi % step == 0:
+                    dist = (1 - np.clip((x[qi : qi + step] @ y.T) / qn[qi : qi + step, None] / yn, -1, 1)).astype(np.float32)
+                d = dist[qi % step]
                 # all rows up to the k-th distance, ties included, then by id
                 edge = np.partition(d, take - 1)[take - 1]
                 cand = [(float(d[j]), ids[j]) for j in order[d[order] <= edge] if not (exclude_same and ids[j] == names[qi])]

@@ -69,11 +69,11 @@ def rag_search(spark, d):
 
 
 def rag_search_batch(spark, d):
-    """Every document whose id is divisible by 20, by its first chunk, against all chunks."""
+    """Every document whose id is divisible by 20, by its whole text, against all chunks."""
     e = embed.HashingEmbedder(DIM)
     chunks = checkpoint(cut_words(table(spark, d, "documents"), LIMIT, OVERLAP, "doc_id"))
     rows = chunks.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("vec_id"), e.column(F.col("text")).alias("embedding"))
-    asked = chunks.where("doc_id % 20 = 0 and chunk_index = 0").select(F.col("doc_id").alias("query_id"), e.column(F.col("text")).alias("embedding"))
+    asked = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), e.column(F.col("text")).alias("embedding"))
     return search.knn(rows, asked, 5).select("query_id", "vec_id", "rank", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
