@@ -65,21 +65,25 @@ def score_clamp(spark, d):
     return hits.agg(F.count("*").alias("n"), F.count_if(F.col("score") == 0).alias("zero"), F.count_if(F.col("distance") >= 1).alias("opposite"))
 
 
+def _asked(rows):
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def knn_batch(spark, d):
     rows = table(spark, d, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.knn(rows, asked, K, exclude_same=True).select("query_id", "vec_id", "rank", F.round(F.col("score").cast("double"), 5).alias("score"))
+    return search.knn(rows, _asked(rows), K, exclude_same=True).select("query_id", "vec_id", "rank", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
 def ivf_topk(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return _shown(ann.build_cells(rows).search(_query(rows), K, search.rag_ef(K)))
+    hits = ann.build_cells(rows).search_all(_asked(rows), K, search.rag_ef(K))
+    return hits.select("query_id", "vec_id", "rank", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
 def ivf_recall(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    index, q = ann.build_cells(rows), _query(rows)
-    return ann.recall(search.top_k(rows, q, K), index.search(q, K, search.rag_ef(K)), ["vec_id"])
+    index, asked = ann.build_cells(rows), _asked(rows)
+    return ann.recall(search.knn(rows, asked, K, exclude_same=True), index.search_all(asked, K, search.rag_ef(K)), ["query_id", "vec_id"])
 
 
 def point_lookup(spark, d):
