@@ -15,7 +15,7 @@ OP_SQL = """case lower(regexp_replace(op_type, '^\\s+|\\s+$', '', 'g'))
 
 
 def p2_found(spark, d):
-    return cf.effective_lsn(table(spark, d, "wal_records"), "vector_id", "lsn", "op_type")
+    return cf.live_state(cf.merged_state(table(spark, d, "wal_records"), "vector_id", "lsn", "op_type", []), "vector_id", "lsn", [])
 
 
 def p2_state(spark, d):
@@ -23,6 +23,14 @@ def p2_state(spark, d):
     return out.select("vector_id", "lsn", F.coalesce(F.size("vector_data"), F.lit(-1)).alias("dims"), F.octet_length("metadata").alias("metadata_bytes"))
 
 
+def p2_merged(spark, d):
+    """The log in two parts, later records first: merged as if it had come at once."""
+    log = table(spark, d, "wal_records")
+    late = F.col("lsn") > log.agg(F.percentile_approx("lsn", 0.5)).first()[0]
+    state = cf.merged_state(log.where(late), "vector_id", "lsn", "op_type", [])
+    return cf.live_state(cf.merged_state(log.where(~late), "vector_id", "lsn", "op_type", [], state), "vector_id", "lsn", [])
+
+
 def p2_latest(spark, d):
     return cf.latest_state(table(spark, d, "wal_records"), "vector_id", "lsn", "op_type", []).select("vector_id", "lsn", "deleted")
 
@@ -38,9 +46,10 @@ s as (select vector_id, list_reduce(ops, lambda a, b: case
 live as (select vector_id, z.lsn lsn from s where z.op = 'L')
 """
 
-QUERIES = {"p2_found": p2_found, "p2_state": p2_state, "p2_latest": p2_latest}
+QUERIES = {"p2_found": p2_found, "p2_state": p2_state, "p2_merged": p2_merged, "p2_latest": p2_latest}
 ORACLES = {
     "p2_found": f"with {LIVE_SQL} select vector_id, lsn from live",
+    "p2_merged": f"with {LIVE_SQL} select vector_id, lsn from live",
     "p2_state": f"""with {LIVE_SQL},
 b as (select w.vector_id, w.lsn, w.vector_data, w.metadata, row_number() over (partition by w.lsn order by (w.vector_data is not null)::int + (w.metadata is not null)::int desc) r
       from wal_records w join live l on w.vector_id = l.vector_id and w.lsn = l.lsn)

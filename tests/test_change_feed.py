@@ -41,6 +41,36 @@ def test_base_rows_count_as_live(spark):
     assert got == {1: (0, "p"), 2: (11, "b")}
 
 
+def test_merged_in_parts_of_any_order(spark):
+    for seed in (3,):
+        rows = random_feed(seed, 240, 8)
+        r = random.Random(seed + 100)
+        parts = [[] for _ in range(3)]
+        for x in rows:
+            for part in r.sample(parts, r.choice([1, 1, 2])):
+                part.append(x)
+        state = None
+        for part in parts:
+            merged = cf.merged_state(spark.createDataFrame(part, SCHEMA), "k", "lsn", "op", ["payload"], state, r.choice([10, 1_000_000]))
+            state = spark.createDataFrame(merged.collect(), "k bigint, lsn bigint, op string, payload string")
+        got = {x["k"]: (x["lsn"], x["payload"]) for x in cf.live_state(state, "k", "lsn", ["payload"]).collect()}
+        assert got == {k: (s, f"v{s}") for k, s in interpret(rows).items()}
+        assert {x["k"]: x["lsn"] for x in cf.effective_lsn(spark.createDataFrame([], SCHEMA), "k", "lsn", "op", state=state).collect()} == interpret(rows)
+
+
+def test_a_late_insert_stays_dead(spark):
+    part = lambda rows: spark.createDataFrame(rows, SCHEMA)
+    state = cf.merged_state(part([(1, 1, "I", "a"), (1, 10, "D", None)]), "k", "lsn", "op", ["payload"])
+    assert [(r["lsn"], r["op"]) for r in state.collect()] == [(10, "D")]
+    state = cf.merged_state(part([(1, 7, "I", "b"), (1, 8, "U", "c")]), "k", "lsn", "op", ["payload"], state)
+    assert cf.live_state(state, "k", "lsn", ["payload"]).count() == 0
+    state = cf.merged_state(part([(1, 12, "I", "d"), (1, 20, "I", "e"), (1, 14, "U", "f")]), "k", "lsn", "op", ["payload"], state)
+    assert [tuple(r) for r in cf.live_state(state, "k", "lsn", ["payload"]).collect()] == [(1, 14, "f")]
+    # a delete between two inserts that comes late lets the second one count
+    state = cf.merged_state(part([(1, 16, "D", None)]), "k", "lsn", "op", ["payload"], state)
+    assert [tuple(r) for r in cf.live_state(state, "k", "lsn", ["payload"]).collect()] == [(1, 20, "e")]
+
+
 def test_copies_may_lack_payload(spark):
     rows = [(1, 5, "Insert", None), (1, 5, "I", "full"), (1, 5, "1", None)]
     assert [tuple(r) for r in cf.current_state(spark.createDataFrame(rows, SCHEMA), "k", "lsn", "op", ["payload"]).collect()] == [(1, 5, "full")]
