@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from brackenfold.llm import mixing as mx
@@ -54,10 +55,41 @@ def test_unlabelled_documents_go_where_the_classifier_says(spark):
 
 
 def test_held_out_accuracy():
-    train = [(text(k, i), k) for i in range(150) for k in WORDS]
-    model = mx.Classifier(list(WORDS)).fit(train)
+    docs, seen = np.zeros(3), np.zeros((3, mx.FEATURES))
+    for i, k in enumerate(WORDS):
+        for n in range(150):
+            docs[i] += 1
+            seen[i, mx.features(text(k, n))] += 1
+    model = mx.Classifier(list(WORDS)).fit(docs, seen)
     right = sum(model.names[model.posterior(text(k, 5000 + i)).argmax()] == k for i in range(50) for k in WORDS)
     assert right >= 140
+    # a label weighs more than a doubtful text and less than a clear one
+    assert model.posterior("the of", "news").argmax() == 1
+    assert model.posterior(text("food", 1, 4000), "news")[2] > 0.3
+
+
+def test_counts_are_those_of_all_documents(spark):
+    got, seen = mx.counted(spark.createDataFrame([("a b a", "x"), ("b", "y"), ("b c", "y"), ("", "x")], "text string, name string").repartition(3), ["x", "y"])
+    assert got.tolist() == [2, 2] and seen.sum() == 5 and seen[1, mx.features("b")].tolist() == [2]
+
+
+def test_caps_hold_for_documents_without_a_label(spark):
+    targets = spark.createDataFrame([("code", 0.6, 1), ("news", 0.4, 4)], TARGETS)
+    rows = [(i, text("code", i), "code") for i in range(60)] + [(100 + i, text("news", i), "news") for i in range(60)]
+    rows += [(200 + i, text("code", i, 20) + " " + text("news", i, 20), None) for i in range(40)]
+    mixed, _ = mx.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), targets)
+    caps = {"code": 1, "news": 4}
+    got = mixed.collect()
+    assert got and all(1 <= m["copies"] <= caps[m["source"]] for m in got)
+
+
+def test_reachable_targets_are_met_within_a_hundredth(spark):
+    targets = spark.createDataFrame([("code", 0.47, 3), ("news", 0.33, 3), ("food", 0.2, 9)], TARGETS)
+    r = random.Random(5)
+    rows = [(i, text(k, i, r.randint(5, 200)), k) for i, k in enumerate(r.choices(["code", "news", "food"], [5, 4, 1], k=1500))]
+    _, report = mx.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), targets)
+    for x in report.collect():
+        assert x["actual_share"] == pytest.approx(x["target_share"], rel=0.01)
 
 
 def test_nulls_and_empty(spark):
