@@ -12,6 +12,7 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -75,9 +76,13 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.tokens, self.weight, self.total, self.segments = {}, {}, {}, {}
         self.grams: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        #: items too short for a piece, whole
+        self.short: dict[tuple, list[int]] = defaultdict(list)
         for item, text in rows:
             t = tokens(text or "")
             if len(t) < PIECE:
+                if t:
+                    self.short[tuple(t)].append(item)
                 continue
             self.tokens[item], self.weight[item] = t, [len(x) for x in t]
             self.total[item] = sum(map(len, t))
@@ -96,6 +101,10 @@ class Items:
             if (places := get(gram)) is not None:
                 for item, i in places:
                     hits[item].append((i, j))
+        for size in {len(s) for s in self.short}:
+            for whole in {g for g in zip(*(t[k:] for k in range(size))) if g in self.short}:
+                for item in self.short[whole]:
+                    yield item, 1.0, 1
         for item, at in hits.items():
             held, verified = self.verify(item, at, t, share)
             if held >= share:
@@ -154,15 +163,27 @@ class Items:
         return (held + sum(weight[x] for x in covered)) / total, len(chain)
 
 
+_BUILT: dict[str, Items] = {}
+
+
+def built(name: str, rows: list) -> Items:
+    """The index of a block of items, built once in each worker process."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Items(rows)
+    return _BUILT[name]
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.5) -> DataFrame:
     """(item_id, doc_id, held, segments): documents that hold at least ``share`` of an item's characters, in order.
 
     Whole texts of all documents are read, in one pass without a shuffle, each
     against a block of items of at most BLOCK_CHARS; a larger item table takes
     several passes. Case, punctuation, spacing, line breaks, markup and escapes
-    don't count; up to a quarter of the words of a segment may differ. Null ids
-    or texts and items of under three tokens give nothing. A repeated document
-    id or item id gives one row.
+    don't count; up to a quarter of the words of a segment may differ. Items of
+    one or two tokens have no pieces and are looked for whole. Null ids or texts
+    and items without a token give nothing. A repeated document id or item id
+    gives one row.
     """
     size = items.select(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
@@ -177,9 +198,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def _against(docs: DataFrame, rows: list, doc_id: str, text: str, item_id: str, item_type: str, share: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
+    name = uuid.uuid4().hex
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Items(shared.value)
+        index = built(name, shared.value)
         for b in batches:
             out = [(item, d, held, n) for d, t in zip(b["d"], b["t"]) for item, held, n in index.found(t, share)]
             yield pd.DataFrame(out, columns=[item_id, doc_id, "held", "segments"])

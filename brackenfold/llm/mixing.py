@@ -30,7 +30,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how that tokenizer cuts text before merging.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents, drawn by a hash of the key, whose words the classifier is fitted on, about, and its hashed features.
-SAMPLE_DOCS, FEATURES = 100_000, 1 << 15
+SAMPLE_DOCS, FEATURES = 20_000, 1 << 15
 #: Of these, one in so many is held out; how far the evidence of the words may count (see ``calibrated``).
 HELD_OUT, SCALES = 10, [2.0**-i for i in range(9)]
 #: Share of labels that are taken to be wrong.
@@ -67,7 +67,7 @@ class Classifier:
 
     def __init__(self, names: list[str]):
         self.names = names
-        self.log = np.zeros((len(names), FEATURES), np.float32)
+        self.log = np.zeros((FEATURES, len(names)), np.float32)
         self.prior = np.zeros(len(names))
         self.scale = 1.0
 
@@ -75,7 +75,7 @@ class Classifier:
         """From the documents by name, and those by name and feature; of a name without documents nothing is expected."""
         # a feature is as usual as in all documents as long as a name has few
         usual = (seen.sum(axis=0) + 0.01) / (docs.sum() + 1)
-        self.log = np.log((seen + 2 * usual) / (docs[:, None] + 2)).astype(np.float32)
+        self.log = np.ascontiguousarray(np.log((seen + 2 * usual) / (docs[:, None] + 2)).T, np.float32)
         with np.errstate(divide="ignore"):
             self.prior = np.log(docs / max(1.0, docs.sum()))
         return self
@@ -83,7 +83,7 @@ class Classifier:
     def evidence(self, text: str) -> np.ndarray:
         """Logarithm of how likely the text is in each name, per root of its words."""
         f = features(text or "")
-        return self.log[:, f].sum(axis=1) / max(1.0, len(f) ** 0.5)
+        return self.log[f].sum(axis=0) / max(1.0, len(f) ** 0.5)
 
     def posterior(self, text: str, label: str | None = None) -> np.ndarray:
         """Of each name, given the text and the label, which is wrong in LABEL_NOISE of all cases."""

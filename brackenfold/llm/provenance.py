@@ -27,7 +27,11 @@ HEADER_LINES = 6
 
 # File types that hold prose or documents, and those that hold settings.
 PROSE = ("md", "txt", "rst", "adoc", "html", "htm", "docx", "pdf", "pptx", "tex", "org")
+#: the same without an ending
+PROSE_NAMES = ("readme", "license", "licence", "copying", "notice", "authors", "contributors", "changelog", "changes", "news", "todo", "install", "thanks", "credits", "maintainers", "history")
 SETTINGS = ("json", "yaml", "yml", "toml", "xml", "csv", "ini", "cfg", "conf", "properties", "css", "env", "lock")
+#: settings that are copied as code is
+STYLES = ("css", "lock")
 VENDOR_DIRS = ("vendor", "vendored", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "extern", "external", "externals", "deps", "subprojects", "godeps", "node_modules", "bundled", "bower_components", "site-packages", "contrib")
 
 COMMENT = re.compile(r"^\s*(?://+|#+|/\*+|\*+|--+|;+|<!--|\"\"\"|%+|REM\b)\s*(.*)")
@@ -36,18 +40,18 @@ GENERATED = re.compile(
     @generated | auto-?\s?generated | automatically\s+(?:generated|created) | code\s+generated\s+(?:by|from)
     | \bgenerated\s+(?:on\s+[\d-]+|by\s+\S+\s+(?:compiler|tool|from)|from\s+\S+\.\w+) | machine[\s-](?:written|generated)
     | (?:produced|generated|written|created|emitted)\s+by\s+(?:a|the)\s+(?:tool|program|script|generator|compiler)
-    | do\s+not\s+(?:edit|modify)(?:\s+by\s+hand|\s+manually|\s+this\s+file|\s*[:.!,;]|\s*$) | output\s+of\s+`
+    | do\s+not\s+(?:edit|modify|change)(?:\s+by\s+hand|\s+manually|\s+(?:this|the)\s+file|\s*[:.!,;]|\s*$) | \boutput\s+(?:of|from)\s+\W?\w
     | (?:changes|edits|modifications)\s+(?:will\s+be|get)\s+(?:lost|overwritten)
-    | (?:automatisch|maschinell)\s+(?:erzeugt|generiert|erstellt) | stammt\s+aus\s+einem\s+werkzeug | änderungen\s+gehen\s+verloren
-    | (?:généré|produit)e?\s+(?:automatiquement|par\s+[\w-]*gen\b|par\s+un\s+(?:outil|programme))
-    | (?:generado|gerado|creado|criado)\s+automáticamente | gerado\s+automaticamente | generato\s+automaticamente
-    | автоматически\s+(?:создан|сгенерирован) | 自动生成 | 自動生成 | 자동\s?생성 | otomatik\s+(?:olarak\s+)?(?:oluştur|üret)
+    | (?:automatisch|maschinell)\s+(?:erzeugt|generiert|erstellt) | (?:stammt|kommt|entstand)\s+(?:aus|von|durch|mit)\s+(?:\w+\s+)?(?:werkzeug|programm|generator|skript) | nicht\s+(?:von\s+hand\s+)?(?:bearbeiten|ändern) | änderungen\s+gehen\s+verloren
+    | (?:généré|produit|créé)e?\s+(?:automatiquement|par\s+[\w-]*gen\b|par\s+un\s+(?:outil|programme)) | ne\s+pas\s+(?:modifier|éditer)
+    | (?:generad|gerad|cread|criad|generat|creat)[oa]\s+autom[aá]ticamente | no\s+(?:editar|modificar) | não\s+(?:edite|editar|modifique) | non\s+modificare
+    | автоматически\s+(?:создан|сгенерирован) | не\s+(?:редактир|измен)\w+ | 自动生成 | 自動生成 | 자동\s?생성 | otomatik\s+(?:olarak\s+)?(?:oluştur|üret)
     """
 )
 COPIED = re.compile(
     r"""(?ix)
     taken\s+from\s+\S+\s+\(? | imported\s+unchanged\s+from | (?:local|verbatim|bundled|vendored|upstream)\s+copy\b | copied\s+(?:verbatim\s+)?from\s+the
-    | original\s+authors? | single-file\s+library | release\s+archive | send\s+patches\s+to\s+the
+    | original\s+authors? | single-file\s+library | release\s+archive | (?:send|submit|report|direct)\s+(?:patches|bugs|issues|changes|fixes)\s+(?:to\b|upstream) | forked\s+from
     """
 )
 LITERAL = re.compile(r"""(?:[\[\](){},;:\s]|=>)*(?:(?:[bru]?"(?:[^"\\]|\\.)*"|[bru]?'(?:[^'\\]|\\.)*'|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[a-zA-Z0-9]{0,3}|null|NULL|None|nil|true|false|True|False)(?:[\[\](){},;:\s]|=>)*)+""")
@@ -59,8 +63,12 @@ def lines(text: str) -> list[str]:
     return [x.strip() for x in text.splitlines() if x.strip()]
 
 
-def layout(text: str, first: bool, settings: bool) -> tuple[int, int, int, int, int, bool, bool]:
-    """(lines, words, word characters, lines of the top template, literal lines, generated header, copied header)."""
+def layout(text: str, settings: bool) -> tuple[int, int, int, int, int, bool, bool]:
+    """(lines, words, word characters, lines of the top template, literal lines, generated header, copied header).
+
+    The header is the comment at the top, however long, or what comments the
+    first HEADER_LINES lines hold.
+    """
     rows = lines(text)
     words = text.split()
     templates: Counter = Counter()
@@ -73,20 +81,21 @@ def layout(text: str, first: bool, settings: bool) -> tuple[int, int, int, int,
         literal += LITERAL.fullmatch(x) is not None
     top = max((n for t, n in templates.items() if not KEY_VALUE.match(t) and re.search(r"\w", t)), default=0)
     generated = copied = False
-    if first:
-        for x in rows[:HEADER_LINES]:
-            if m := COMMENT.match(x):
-                generated |= GENERATED.search(m[1]) is not None
-                copied |= COPIED.search(m[1]) is not None
+    for i, x in enumerate(rows):
+        if m := COMMENT.match(x):
+            generated |= GENERATED.search(m[1]) is not None
+            copied |= COPIED.search(m[1]) is not None
+        elif i >= HEADER_LINES:
+            break
     return len(rows), len(words), sum(map(len, words)), top, literal, generated, copied
 
 
-LAYOUT = "source string, repo string, n_lines bigint, n_words bigint, n_chars bigint, top bigint, literal bigint, generated boolean, copied boolean"
+LAYOUT = "source string, repo string, i int, n_lines bigint, n_words bigint, n_chars bigint, top bigint, literal bigint, generated boolean, copied boolean"
 
 
 def _layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(s, r, *layout(t, i == 0, e in SETTINGS)) for s, r, t, i, e in zip(b["source"], b["repo"], b["text"], b["i"], b["ext"])]
+        rows = [(s, r, i, *layout(t, e in SETTINGS)) for s, r, t, i, e in zip(b["source"], b["repo"], b["text"], b["i"], b["ext"])]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in LAYOUT.split(", ")])
 
 
@@ -117,18 +126,19 @@ def provenance(chunks: DataFrame, source: str = "source", text: str = "text", in
     copied_header, blocks, shared_blocks, shared_tree, vendored_path, reason):
     reason is vendored, generated, minified, data, or null for hand-written files.
     A source's repository is the first part of its path. Prose and documents (by
-    file type) and null sources aren't looked at and have no row; null texts add
-    nothing; repeated rows and sources cut twice count as the same lines.
+    file type, or by name where there is none) and null sources aren't looked at
+    and have no row; null texts add nothing, so the header is that of the first
+    chunk with a text; repeated rows and sources cut twice count as the same lines.
     """
     files = (
         chunks.where(F.col(source).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(source).alias("source"), F.col(text).alias("text"), F.col(index).alias("i"), extension(F.col(source)).alias("ext"))
-        .where(~F.col("ext").isin(*PROSE) & (F.col("ext") != ""))
+        .select(F.col(source).alias("source"), F.col(text).alias("text"), F.coalesce(F.col(index), F.lit(0)).cast("int").alias("i"), extension(F.col(source)).alias("ext"))
+        .where(F.when(F.col("ext") == "", ~F.lower(F.substring_index("source", "/", -1)).isin(*PROSE_NAMES)).otherwise(~F.col("ext").isin(*PROSE)))
         .withColumn("repo", F.substring_index("source", "/", 1))
     )
-    shape = files.mapInPandas(_layouts, LAYOUT).groupBy("source", "repo").agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_chars", "top", "literal")], F.max("generated").alias("generated"), F.max("copied").alias("copied"))
+    shape = files.mapInPandas(_layouts, LAYOUT).groupBy("source", "repo").agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_words", "n_chars", "top", "literal")], F.max_by("generated", F.struct(-F.col("i"), "generated")).alias("generated"), F.max_by("copied", F.struct(-F.col("i"), "copied")).alias("copied"))
     # Merkle hashes; settings files are short and alike by nature
-    coded = files.where(~F.col("ext").isin(*SETTINGS))
+    coded = files.where(~F.col("ext").isin(*[e for e in SETTINGS if e not in STYLES]))
     lines_of = coded.select(F.xxhash64("source").alias("f"), F.xxhash64("repo").alias("repo"), leaves(F.col("text")).alias("leaf"))
     # three numbers a block, written once and read by each of the aggregations below
     leaf = checkpoint(lines_of.select("f", "repo", F.explode(blocks("leaf")).alias("h")).distinct())
@@ -181,5 +191,7 @@ def _shared_trees(files: DataFrame, nodes: DataFrame) -> DataFrame:
         "f", "repo", F.xxhash64("repo", F.slice("p", 2, F.col("d") - 1)).alias("dir"), F.xxhash64(F.slice("p", F.col("d") + 1, F.size("p")), "node").alias("part")
     )
     trees = below.groupBy("dir", "repo").agg(F.xxhash64(F.bit_xor("part"), F.count("*")).alias("tree"), F.count("*").alias("n"))
-    both = trees.where("n >= 2").groupBy("tree").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).where("a < b").select("tree")
-    return below.select("f", "dir").join(trees.join(both, "tree").select("dir"), "dir").select("f").distinct()
+    both = trees.where("n >= 2").groupBy("tree").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.count("*").alias("dirs")).where("a < b").select("tree", "dirs")
+    # a directory may hold a large part of all files
+    held = lookup_join(trees.select("dir", "tree", "n"), both, ["tree"], "dirs").select("dir", "n")
+    return lookup_join(below.select("f", "dir"), held, ["dir"], "n").select("f").distinct()

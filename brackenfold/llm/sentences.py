@@ -62,24 +62,24 @@ MASKS = [(rf"\.(?:{'|'.join(_NO_END)})", DOT)]
 #: What joins a quotation to the words that report it, where letters have no case to tell.
 _REPORT_LEFT = r"(?:(?<=^.)|(?<=[\n。！？｡”」』）…].)|(?<=[.!?؟।۔…»”\")][ \n].)|(?<=[-*•#] .))"
 JOINS = [
-    (rf"([“「『]{_REPORT_LEFT}[^”」』{END}]{{1,500}}[。！？｡….!?][”」』])(?=[\p{{L}}\p{{N}}])", rf"$1{JOIN}"),
-    (rf"([«\"“]{_REPORT_LEFT}(?:(?<=«)[^»{END}]{{1,500}}[.!?؟۔…]»|(?<=\")[^\"{END}]{{1,500}}[.!?।؟۔…]\"|(?<=“)[^”{END}]{{1,500}}[.!?।؟۔…]”))(?=\s[\p{{L}}\p{{N}}&&[^\p{{Lu}}\p{{Ll}}]])", rf"$1{JOIN}"),
+    (rf"([“「『]{_REPORT_LEFT}[^”」』{END}]+[。！？｡….!?][”」』])(?=[\p{{L}}\p{{N}}])", rf"$1{JOIN}"),
+    (rf"([«\"“]{_REPORT_LEFT}(?:(?<=«)[^»{END}]+[.!?؟۔…]»|(?<=\")[^\"{END}]+[.!?।؟۔…]\"|(?<=“)[^”{END}]+[.!?।؟۔…]”))(?=\s[\p{{L}}\p{{N}}&&[^\p{{Lu}}\p{{Ll}}]])", rf"$1{JOIN}"),
 ]
-#: Between the sentences of one quotation, for texts with a quotation of several.
+#: Between the sentences of one quotation: (opening and closing marks, sentence end within), from paragraph to paragraph.
 INNER = [
-    (rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[\s\p{{L}}\p{{N}}“„\"'(（])(?=[^“”{END}]{{1,500}}+[”])", rf"$1{JOIN}", rf"“[^“”{END}]{{1,500}}?[.!?。！？؟।][\s\p{{L}}\p{{N}}“„\"'(（][^“”{END}]{{0,500}}+”"),
-    (rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[\s\p{{L}}\p{{N}}])(?=[^«»{END}]{{1,500}}+»)", rf"$1{JOIN}", rf"«[^«»{END}]{{1,500}}?[.!?。！？؟।](?!\s?»)[\s\p{{L}}\p{{N}}][^«»{END}]{{0,500}}+»"),
-    (rf"([。！？])(?![」』]|{JOIN})(?=[^「」『』{END}]{{1,500}}+[」』])", rf"$1{JOIN}", rf"[「『][^「」『』{END}]{{1,500}}?[。！？][^「」『』{END}]{{1,500}}+[」』]"),
+    ("“", "”", rf"([.!?。！？؟।])(?![”]|{JOIN})(?=[\s\p{{L}}\p{{N}}“„\"'(（])"),
+    ("«", "»", rf"([.!?。！？؟।])(?!\s?»|{JOIN})(?=[\s\p{{L}}\p{{N}}])"),
+    ("「『", "」』", rf"([。！？])(?![」』]|{JOIN}|$)"),
 ]
 
-_LATIN_END = rf"(?:[.!?؟।۔։]+|…+|;(?<=\p{{IsGreek}};))(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
+_LATIN_END = rf"(?:[.!?؟।۔։។៕။]+|…+|;(?<=\p{{IsGreek}};))(?!{JOIN})[{_CLOSE}]*+(?:[   ][»›])?(?!{JOIN})"
 _ENDS = [
     # scripts written with spaces: terminator, closing marks, blank, and no word that goes on
     rf"{_LATIN_END}(?=\s+(?![—–―]\s)(?![»›])(?:(?!\p{{Ll}})\S|{_NAME}))",
     # ideographic terminators need no blank
     rf"(?:[。！？｡]+|…(?<=[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}ー].)…*)(?!{JOIN})[”’」』》）]*+(?!{JOIN})(?![。！？｡…”’」』》）、，,;；：]|と|って)",
-    # Thai, Lao, Khmer and Burmese: a blank between two words of the script, or before a capital
-    r"[ \n](?=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{Lu}“«])(?<=[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}].)",
+    # Thai and Lao have no terminators: a blank between two words of the script, or before a capital
+    r"[ \n](?=[\p{IsThai}\p{IsLao}\p{Lu}“«])(?<=[\p{IsThai}\p{IsLao}].)",
 ]
 ENDS = [("|".join(_ENDS), f"$0{END}")]
 #: In texts with a unit per line, a sentence may also go on in small letters after a single mark.
@@ -95,16 +95,22 @@ def _apply(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def marked(df: DataFrame, key: str, text: str, by_line: Column) -> DataFrame:
-    """(key, _t): the text with masks, and a mark after each unit but the last."""
+    """(key, _kept, _t): the text with masks, and a mark after each unit but the last."""
     raw = F.col(text)
     t = F.translate(raw, DOT + END + JOIN, SPARE)
     t = F.when(F.col("_line"), F.regexp_replace(t, r"\n", END + "\n")).otherwise(_apply(t, PARAGRAPHS))
     # one projection for each choice, as an expression used twice in one would run twice
-    out = df.select(key, by_line.alias("_line"), raw.alias(text)).withColumn("_t", t).withColumn("_t", _apply(_apply(F.col("_t"), MASKS), JOINS))
-    for pattern, to, several in INNER:
-        out = out.withColumn("_t", F.when(F.col("_t").rlike("(?U)" + several), _apply(F.col("_t"), [(pattern, to)])).otherwise(F.col("_t")))
+    # a text that holds the substitutes themselves is kept, to cut the sentences from
+    kept = F.when(raw.rlike(f"[{SPARE}]"), raw)
+    out = df.select(key, by_line.alias("_line"), raw.alias(text), kept.alias("_kept")).withColumn("_t", t).withColumn("_t", _apply(_apply(F.col("_t"), MASKS), JOINS))
+    for opening, closing, pattern in INNER:
+        quotation = rf"[{opening}][^{opening}{closing}{END}]*+[{closing}]"
+        # cut at the marks, so that each quotation is looked at once, however long it is
+        cut = F.split("_t", rf"(?=[{opening}])|(?<=[{closing}])")
+        joined = F.transform(cut, lambda p: F.when(p.rlike(f"^{quotation}$"), _apply(p, [(pattern, f"$1{JOIN}")])).otherwise(p))  # noqa: B023
+        out = out.withColumn("_t", F.when(F.col("_t").rlike(quotation), F.array_join(joined, "")).otherwise(F.col("_t")))
     out = out.withColumn("_t", _apply(F.col("_t"), ENDS))
-    return out.select(key, F.when(F.col("_line"), _apply(F.col("_t"), LINE_ENDS)).otherwise(F.col("_t")).alias("_t"))
+    return out.select(key, "_kept", F.when(F.col("_line"), _apply(F.col("_t"), LINE_ENDS)).otherwise(F.col("_t")).alias("_t"))
 
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: Column | None = None) -> DataFrame:
@@ -128,15 +134,21 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", by_line: C
     )
     return (
         marked(df.where(F.col(text).isNotNull()), key, text, by_line)
-        .select(F.col(key), parts.alias("_parts"))
-        .select(key, "_parts", ends.alias("_at"))
-        .select(key, F.explode(F.arrays_zip("_parts", "_at")).alias("_u"))
-        .select(key, F.col("_u._at").alias("_at"), F.col("_u._parts").alias("_p"), F.ltrim("_u._parts", F.lit(BLANKS)).alias("_l"))
+        .select(F.col(key), "_kept", parts.alias("_parts"))
+        .select(key, "_kept", "_parts", ends.alias("_at"))
+        .select(key, "_kept", F.explode(F.arrays_zip("_parts", "_at")).alias("_u"))
+        .select(key, "_kept", F.col("_u._at").alias("_at"), F.col("_u._parts").alias("_p"), F.ltrim("_u._parts", F.lit(BLANKS)).alias("_l"))
         .where(F.col("_l") != "")
         .select(
             key,
+            "_kept",
             (F.col("_at") + F.char_length("_p") - F.char_length("_l")).alias("start_char"),
             F.translate(F.rtrim("_l", F.lit(BLANKS)), DOT + SPARE, "." + DOT + END + JOIN).alias("sentence"),
         )
-        .select(key, "start_char", (F.col("start_char") + F.char_length("sentence")).alias("end_char"), "sentence")
+        .select(
+            key,
+            "start_char",
+            (F.col("start_char") + F.char_length("sentence")).alias("end_char"),
+            F.when(F.col("_kept").isNull(), F.col("sentence")).otherwise(F.substring("_kept", F.col("start_char") + 1, F.char_length("sentence"))).alias("sentence"),
+        )
     )

@@ -6,6 +6,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +80,14 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, int
     return out
 
 
+def byte_offsets(text: str) -> np.ndarray | range:
+    """Bytes in UTF-8 up to each character and to the end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    o = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return np.concatenate([[0], np.cumsum(1 + (o > 0x7F) + (o > 0x7FF).astype(int) + (o > 0xFFFF))])
+
+
 OUT = "n_words int, piece_index int, n_pieces int, first_word int, piece_words int, overlap_words int, text_start int, text_end int, byte_start bigint, byte_end bigint, boundary string, text string"
 
 
@@ -120,17 +129,19 @@ def split_oversized(df: DataFrame, limits: DataFrame, on: str = "chunker_id", te
             for r in b.to_dict("records"):
                 whole, got = r["_text"], pieces(r["_text"], r["_limit"], r["_overlap"])
                 a, z = (None if pd.isna(r[x]) else int(r[x]) for x in (start, end))
-                exact = a is not None and z is not None and len(whole.encode()) == z - a
+                bytes_to = byte_offsets(whole)
+                exact = a is not None and z is not None and int(bytes_to[-1]) == z - a
                 n = got[-1][2]
                 for k, (lead, own, stop, c0, c1) in enumerate(got):
                     if exact:
-                        b0, b1 = a + len(whole[:c0].encode()), a + len(whole[:c1].encode())
+                        b0, b1 = a + int(bytes_to[c0]), a + int(bytes_to[c1])
                     else:
                         b0, b1 = a if k == 0 else None, z if stop == n else None
                     kind = None
                     if stop < n:
                         tail = WORD.search(whole, c1)
-                        kind = BOUNDARIES[strength(WORD.findall(whole[c0:c1])[-1], whole[c1 : tail.start()], tail[0])]
+                        last = re.search(f"[^{SPACE}]+$", whole[max(c0, c1 - 200) : c1])
+                        kind = BOUNDARIES[strength(last[0], whole[c1 : tail.start()], tail[0])]
                     rows.append([*(r[c] for c in keep), n, k, len(got), lead, stop - lead, own - lead, c0, c1, b0, b1, kind, whole[c0:c1]])
             out = pd.DataFrame(rows, columns=[*keep, *(x.split()[0] for x in OUT.split(", "))]).rename(columns={"byte_start": start, "byte_end": end, "text": text})
             for c in (start, end):

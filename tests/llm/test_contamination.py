@@ -68,6 +68,9 @@ def test_operator(spark, monkeypatch):
     items = spark.createDataFrame([(1, a), (2, b), (2, b), (3, None), (4, ""), (None, c), (5, "two words")], ITEMS)
     docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (2, f"{b} {a}", None), (3, None, "y"), (None, a, "z"), (4, passage(23, 50_000) + b, "w")], DOCS)
     want = {(1, 1), (1, 2), (2, 2), (2, 4)}
+    short = spark.createDataFrame([(7, "Two WORDS"), (8, "漢"), (9, "..")], ITEMS)
+    texts = spark.createDataFrame([(1, "it takes two <b>words</b> here", ""), (2, "words two", ""), (3, "在漢字", "")], DOCS)
+    assert {(r["item_id"], r["doc_id"]) for r in ct.leaks(texts, short).collect()} == {(7, 1), (8, 3)}
     for size in (ct.BLOCK_CHARS, 300):
         monkeypatch.setattr(ct, "BLOCK_CHARS", size)
         got = ct.leaks(docs, items).collect()

@@ -69,10 +69,21 @@ def test_headers_and_layouts(spark):
     assert got == {"r/a.go": "generated", "r/b.py": "generated", "r/c.go": None, "r/d.go": None, "r/e.go": None, "r/f.rs": "data", "r/g.css": None, "r/h.ts": "generated", "r/i.js": "minified", "r/j.lock": "data"}
 
 
+def test_files_of_every_kind(spark):
+    made = "\n".join(["# Copyright (c) 2026 the r developers."] * 30 + ["# Code generated by schemac. DO NOT EDIT."] + code(20))
+    style = "\n".join(f".box{i} {{ margin: {i * 7 % 13}px; width: {i * i}em; }}" for i in range(30))
+    files = {"r/Makefile": made, "r/README": made, "one/site/a.css": style, "two/x/b.css": style}
+    assert reasons(spark, files) == {"r/Makefile": "generated", "one/site/a.css": "vendored", "two/x/b.css": "vendored"}
+    # the header is that of the first chunk with a text
+    rows = [("r/a.go", None, 0), ("r/a.go", made, 1), ("r/a.go", "x := 1", 2), ("r/b.go", "x := 1", 0), ("r/b.go", made, 1)]
+    got = {r["source"]: r["generated_header"] for r in pv.provenance(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"r/a.go": True, "r/b.go": False}
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(None, "x", 0), ("r/a.rs", None, 0), ("r/b.rs", "", 0), ("r/b.rs", "", 0), ("plain", "x", 0), ("r/c.rs", "word " * 100_000, None)]
     got = {r["source"]: r["reason"] for r in pv.provenance(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == {"r/b.rs": None, "r/c.rs": None}
+    assert got == {"r/b.rs": None, "r/c.rs": None, "plain": None}
     assert pv.provenance(spark.createDataFrame([], SCHEMA)).count() == 0
     lines = "\n".join(code(12))
     extra = spark.createDataFrame([("r/a.rs", lines, 0, 5, "z")] * 2, SCHEMA + ", n_lines int, reason string")

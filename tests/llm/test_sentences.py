@@ -50,6 +50,28 @@ def test_offsets_count_code_points(spark, text):
     assert rows[-1]["end_char"] == len(text) and all(text[r["start_char"] : r["end_char"]].strip() == text[r["start_char"] : r["end_char"]] for r in rows)
 
 
+@pytest.mark.parametrize("opening, closing", ["“”", "«»"])
+@pytest.mark.parametrize("n", [3, 30, 3000])
+def test_quotations_of_any_length(spark, opening, closing, n):
+    text = f"The reader said: {opening}" + " ".join(["Nothing is lost here."] * n) + f"{closing} Then it ended."
+    got = sentences(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("start_char").collect()
+    assert len(got) == 2 and got[-1]["sentence"] == "Then it ended."
+
+
+def test_substitutes_in_a_text_come_out_as_they_were(spark):
+    from brackenfold.llm import sentences as se
+
+    text = f"Dr. A{se.SPARE[0]}b. {se.DOT}Two{se.SPARE} {se.END}x {se.JOIN}. Three 0.5 here."
+    got = [r["sentence"] for r in sentences(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).orderBy("start_char").collect()]
+    assert "".join("".join(got).split()) == "".join(text.split())
+
+
+def test_khmer_and_burmese_end_at_their_marks(spark):
+    rows = [(1, "ខ្ញុំ ទៅ ផ្សារ។ គាត់ នៅ ផ្ទះ។"), (2, "ကျွန်တော် သွား သည်။ သူ နေ သည်။")]
+    got = sentences(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {1: 2, 2: 2}
+
+
 def test_nulls_long_and_extra_columns(spark):
     rows = [(1, None, 1), (None, "A b. C d.", 2), (2, "X y. Z w.", 3), (2, "X y. Z w.", 3), (3, "A sentence here. " * 3000, 4)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, start_char int")

@@ -72,6 +72,13 @@ def test_clashing_names(spark):
     assert {r["piece_index_in"] for r in got.collect()} == {5} and "boundary_in" in got.columns
 
 
+def test_byte_offsets_in_one_pass():
+    text = "añ漢😀b" * 50_000
+    at = sp.byte_offsets(text)
+    assert len(at) == len(text) + 1 and at[-1] == len(text.encode()) and all(at[i] == len(text[:i].encode()) for i in range(40))
+    assert list(sp.byte_offsets("abc")) == [0, 1, 2, 3]
+
+
 def test_long_text():
     text = "Some words here. " * 40_000
     got = check(text, 64, 8)
