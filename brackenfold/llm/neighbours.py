@@ -10,7 +10,6 @@ inner products, weighs more than the rest.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +22,10 @@ from brackenfold.tables import checkpoint
 
 #: Rows that cells and codebooks are fitted on, at most. Everything else covers all rows.
 SAMPLE_ROWS = 120_000
-#: Rows a cell should hold, cells at most, and rows of a cell that one task scans at most.
+#: Rows a cell should hold, cells of a level at most, and members, and likewise queries, of a cell that one task scans at most.
 CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 2_500, 4_096, 20_000
+#: Rows of a cell of the upper level that its cells of the lower level are fitted on, about.
+SUB_ROWS = 20_000
 #: A query is sent to the cells whose centre is less similar by a margin at most than the best one, and to so many at most:
 #: PROBES and MARGIN, or what more it takes with these cells for TARGET of the k nearest (see ``reach``).
 PROBES, MARGIN, TARGET = 6, 0.25, 0.95
@@ -62,8 +63,12 @@ def kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) -> np.ndar
     return centres.astype(np.float32)
 
 
-def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, probes: int = PROBES) -> tuple[int, float]:
-    """(probes, margin) that send a query to the cells of TARGET of its k nearest, with the fewest cells a query.
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(p @ centres.T).argmax(axis=1) for p in np.array_split(x, math.ceil(len(x) / 8192))])
+
+
+def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, probes: int = PROBES, target: float = TARGET) -> tuple[int, float]:
+    """(probes, margin) that send a query to the cells of ``target`` of its k nearest, with the fewest cells a query.
 
     Told by the neighbours of rows of the sample in the sample. In the whole
     table they are nearer, so that the share is rather higher there.
@@ -87,7 +92,7 @@ def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, pro
     p = probes
     while True:
         for m in (MARGIN, 0.3, 0.35, 0.4, 0.5, 0.7, 2.0):
-            if ((of < p) & (gap <= m)).mean() >= TARGET:
+            if ((of < p) & (gap <= m)).mean() >= target:
                 best = min(best, (float(((rank < p) & (lag <= m)).sum(axis=1).mean()), p, m))
         if p >= len(centres):
             return best[1:]
@@ -308,41 +313,37 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
     sample = unit(rows.flatten().to_numpy(zero_copy_only=False), dims).astype(np.float32) if len(rows) else None
     if sample is None:
         sample = unit(np.array(vectors.first()["vector"], np.float32), dims).astype(np.float32)
-    centres = kmeans(sample, max(1, min(MAX_CELLS, n // CELL_ROWS, len(sample) // 20)))
-    near = np.concatenate([(p @ centres.T).argmax(axis=1) for p in np.array_split(sample, math.ceil(len(sample) / 8192))])
+    cells = max(1, n // CELL_ROWS)
+    deep = cells > MAX_CELLS
+    # with two levels each keeps so much that both together keep TARGET
+    target = TARGET**0.5 if deep else TARGET
+    centres = kmeans(sample, max(1, min(MAX_CELLS, math.ceil(cells**0.5) if deep else cells, len(sample) // 20)))
+    near = nearest_centre(sample, centres)
     fit = sample[:CODE_ROWS]
     codec = Codec(dims).fit(fit, fit - centres[near[:CODE_ROWS]])
     model = spark.sparkContext.broadcast((centres, codec.books))
-    probes, margin = reach(sample, near, centres, k, probes)
-
-    def assign(batches):
-        c = model.value[0]
-        for b in batches:
-            flat = b.column("vector").flatten().to_numpy(zero_copy_only=False)
-            x = unit(flat, dims).astype(np.float32)
-            score = x @ c.T
-            top = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-            near = np.take_along_axis(score, top, axis=1)
-            for j in range(probes):
-                sent = np.flatnonzero(near[:, j] >= near[:, 0] - margin)
-                part = b.take(pa.array(sent))
-                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("vector"), pa.array(top[sent, j], pa.int32()), pa.array(np.full(len(sent), j == 0))], ["v", "vector", "cell", "member"])
-
-    sent = vectors.mapInArrow(assign, f"v {item_type}, vector array<float>, cell int, member boolean")
-    # cells are bounded in number; one with more rows than a task should scan is scanned in blocks
-    counts = {r["cell"]: r["n"] for r in vectors.mapInArrow(lambda bs: _homes(bs, model.value[0], dims), "cell int").groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: math.ceil(m / BLOCK_ROWS) for c, m in counts.items() if m > BLOCK_ROWS}
-    if blocks:
-        cut = reduce(lambda e, cb: e.when(F.col("cell") == cb[0], cb[1]), blocks.items(), F.when(F.lit(False), 1)).otherwise(1)
-        block = F.pmod(F.xxhash64("v"), cut).cast("int")
-        all_blocks = F.sequence(F.lit(0), cut - 1)
-        # members of block i meet queries of block j: a home row is a member of row i and a query of column i
-        as_member = sent.where("member").select("v", "vector", "cell", block.alias("i"), F.explode(all_blocks).alias("j"), F.lit(True).alias("member"), F.lit(False).alias("query"))
-        as_query = sent.select("v", "vector", "cell", F.explode(all_blocks).alias("i"), block.alias("j"), F.lit(False).alias("member"), F.lit(True).alias("query"))
-        one = ~F.col("cell").isin(list(blocks))
-        sent = sent.where(one).select("v", "vector", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "member", F.lit(True).alias("query")).unionByName(as_member.where(~one)).unionByName(as_query.where(~one))
-    else:
-        sent = sent.select("v", "vector", "cell", F.lit(0).alias("i"), F.lit(0).alias("j"), "member", F.lit(True).alias("query"))
+    probes, margin = reach(sample, near, centres, k, probes, target)
+    flat = f"v {item_type}, vector array<float>, cell int, sub int, member boolean"
+    sent = vectors.mapInArrow(lambda bs: _assign(bs, model.value[0], probes, margin, dims), flat)
+    if deep:
+        sent = checkpoint(_lower(vectors, sent, model, probes, margin, dims, k, target, flat))
+    # cells are bounded in number; one with more members or queries than a task should scan is scanned in blocks
+    tally = sent if deep else vectors.mapInArrow(lambda bs: _tally(_assign(bs, model.value[0], probes, margin, dims)), "cell int, sub int, m bigint, q bigint")
+    if deep:
+        tally = tally.select("cell", "sub", F.col("member").cast("bigint").alias("m"), F.lit(1).cast("bigint").alias("q"))
+    large = tally.groupBy("cell", "sub").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).where((F.col("m") > BLOCK_ROWS) | (F.col("q") > BLOCK_ROWS))
+    # a row for each BLOCK_ROWS queries at most
+    cut = large.select("cell", "sub", F.ceil(F.greatest("m", F.lit(1)) / BLOCK_ROWS).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK_ROWS).cast("int").alias("qb"))
+    marked = sent.join(F.broadcast(cut), ["cell", "sub"], "left").select(*sent.columns, F.coalesce("mb", F.lit(1)).alias("mb"), F.coalesce("qb", F.lit(1)).alias("qb"))
+    whole = (F.col("mb") == 1) & (F.col("qb") == 1)
+    columns = ["v", "vector", "cell", "sub"]
+    mine = lambda blocks: F.pmod(F.xxhash64("v"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    # members of block i meet queries of block j
+    alone = marked.where(whole).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), "member", F.lit(True).alias("query"))
+    as_member = marked.where(~whole & F.col("member")).select(*columns, mine("mb").alias("i"), every("qb").alias("j"), F.lit(True).alias("member"), F.lit(False).alias("query"))
+    as_query = marked.where(~whole).select(*columns, every("mb").alias("i"), mine("qb").alias("j"), F.lit(False).alias("member"), F.lit(True).alias("query"))
+    sent = alone.unionByName(as_member).unionByName(as_query)
 
     def search(t: pa.Table) -> pa.Table:
         c, books = model.value
@@ -367,15 +368,80 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
         qi, ki = np.nonzero(keep)
         return pa.table({"v": pa.array(v[query[qi]]).cast(ids.type), "w": pa.array(v[member[places[qi, ki]]]).cast(ids.type), "score": np.clip(scores[qi, ki], -1, 1)})
 
-    hits = sent.groupBy("cell", "i", "j").applyInArrow(search, f"v {item_type}, w {item_type}, score double")
+    hits = sent.groupBy("cell", "sub", "i", "j").applyInArrow(search, f"v {item_type}, w {item_type}, score double")
     by_rank = Window.partitionBy("v").orderBy(F.col("score").desc(), "w")
     return hits.withColumn("r", F.row_number().over(by_rank)).where(F.col("r") <= k).drop("r")
 
 
-def _homes(batches, centres: np.ndarray, dims: int):
+def _near(x: np.ndarray, centres: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centre, whether it is the row's nearest): the centres each row is sent to."""
+    score = x @ centres.T
+    top = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+    best = np.take_along_axis(score, top, axis=1)
+    row, rank = np.nonzero(best >= best[:, :1] - margin)
+    return row, top[row, rank], rank == 0
+
+
+def _rows(batch, row: np.ndarray, cell: np.ndarray, sub: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
+    part = batch.take(pa.array(row))
+    return pa.RecordBatch.from_arrays([part.column("v"), part.column("vector"), pa.array(cell.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(member)], ["v", "vector", "cell", "sub", "member"])
+
+
+def _assign(batches, centres: np.ndarray, probes: int, margin: float, dims: int):
     for b in batches:
         x = unit(b.column("vector").flatten().to_numpy(zero_copy_only=False), dims).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array((x @ centres.T).argmax(axis=1), pa.int32())], ["cell"])
+        for lo in range(0, len(x), 4096):
+            row, cell, member = _near(x[lo : lo + 4096], centres, probes, margin)
+            yield _rows(b, row + lo, cell, np.zeros(len(row)), member)
+
+
+def _tally(batches):
+    """Members and queries by cell."""
+    for b in batches:
+        cell, at = np.unique(b.column("cell").to_numpy(), return_inverse=True)
+        m = np.bincount(at, b.column("member").to_numpy(zero_copy_only=False), len(cell)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.zeros(len(cell)), pa.int32()), pa.array(m), pa.array(np.bincount(at, minlength=len(cell)).astype(np.int64))], ["cell", "sub", "m", "q"])
+
+
+def _lower(vectors: DataFrame, sent: DataFrame, model, probes: int, margin: float, dims: int, k: int, target: float, flat: str) -> DataFrame:
+    """``sent`` with ``sub``: the rows sent to a cell go on to its cells of the lower level.
+
+    These are fitted cell by cell on about SUB_ROWS of its members and join the
+    rows in groups of about BLOCK_ROWS, so that nothing of the lower level comes
+    to the driver or is broadcast.
+    """
+    tallies = vectors.mapInArrow(lambda bs: _tally(_assign(bs, model.value[0], probes, margin, dims)), "cell int, sub int, m bigint, q bigint")
+    # a row per cell of the upper level
+    sizes = {r["cell"]: (r["m"], r["q"]) for r in tallies.groupBy("cell").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).collect()}
+    rows = vectors.sparkSession.createDataFrame([(c, m, math.ceil(q / BLOCK_ROWS)) for c, (m, q) in sizes.items()], "cell int, m bigint, salts int")
+    known = F.broadcast(rows)  # MAX_CELLS rows at most
+    draw = F.pmod(F.xxhash64("v", F.lit("sub")), F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(float(SUB_ROWS)) / F.col("m")) * (1 << 30)
+    sample = sent.where("member").join(known, "cell").where(draw).select("cell", "m", "vector")
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = unit(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), dims).astype(np.float32)
+        c = kmeans(x, max(1, min(t.column("m")[0].as_py() // CELL_ROWS, len(x) // 20)))
+        p, m = reach(x, nearest_centre(x, c), c, k, PROBES, target)
+        return pa.table({"cell": t.column("cell").slice(0, 1), "centres": pa.array([c.ravel().tolist()], pa.list_(pa.float32())), "probes": pa.array([p], pa.int32()), "margin": pa.array([m], pa.float64())})
+
+    lower = checkpoint(sample.groupBy("cell").applyInArrow(fit, "cell int, centres array<float>, probes int, margin double"))
+    salted = sent.join(known.select("cell", "salts"), "cell").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")).drop("salts")
+    copies = lower.join(known.select("cell", "salts"), "cell").select("cell", "centres", "probes", "margin", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+
+    def go_on(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select(["v", "vector", "cell", "sub", "member"])
+        b = left.combine_chunks().to_batches()[0]
+        home = b.column("member").to_numpy(zero_copy_only=False)
+        cell = b.column("cell").to_numpy()
+        if not right.num_rows:
+            return pa.Table.from_batches([_rows(b, np.arange(len(cell)), cell, np.zeros(len(cell)), home)])
+        c = right.column("centres").combine_chunks().flatten().to_numpy().reshape(-1, dims)
+        x = unit(b.column("vector").flatten().to_numpy(zero_copy_only=False), dims).astype(np.float32)
+        row, sub, first = _near(x, c, right.column("probes")[0].as_py(), right.column("margin")[0].as_py())
+        return pa.Table.from_batches([_rows(b, row, cell[row], sub, first & home[row])])
+
+    return salted.groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInArrow(go_on, flat)
 
 
 def close_pairs(neighbours: DataFrame, a: str, b: str, min_score: float) -> DataFrame:

@@ -103,3 +103,25 @@ def test_recall_with_many_cells(spark, monkeypatch):
     s[np.arange(len(s)), np.arange(0, len(x), 20)] = -3
     want = {(20 * i, int(j)) for i, js in enumerate(np.argsort(-s, axis=1)[:, :10]) for j in js}
     assert len(set(zip(got.item, got.neighbour)) & want) / len(want) >= 0.9
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_ROWS", 60)
+    monkeypatch.setattr(nb, "MAX_CELLS", 8)
+    monkeypatch.setattr(nb, "BLOCK_ROWS", 700)
+    x = data(2400, 4, 16, 20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    got = nb.nearest(df, dims=16, k=5).toPandas()
+    pairs = set(zip(got.item, got.neighbour))
+    want = brute(x, list(range(2400)), 5)
+    assert len(pairs) == len(got) and len(pairs & want) / len(want) >= 0.9
+    assert (got.groupby("item").size() == 5).all()
+
+
+def test_more_neighbours_than_candidates_at_first(spark):
+    x = np.concatenate([data(300, 8, 16), data(1, 9, 16) + 0.02 * data(400, 10, 16, 1)]).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    got = nb.nearest(df, dims=16, k=100).toPandas()
+    assert (got.groupby("item").size() == 100).all()
+    want = brute(x, list(range(700)), 100)
+    assert len(set(zip(got.item, got.neighbour)) & want) / len(want) >= 0.9
