@@ -90,11 +90,12 @@ class NaNDistance(EngineError):
 
 @dataclass(frozen=True)
 class Config:
-    """Settings of a vector table. Graph parameters of other engines have no counterpart;
-    ``ef_construction`` is kept as the effort of index building (rows sampled per cell)."""
+    """Settings of a vector table: its dimension, the share of deleted rows beyond which it
+    should be compacted, and for its log (``SegmentLog``) the bytes from which a segment is
+    closed and the bytes and number of segments that are kept. Graph parameters of other
+    engines have no counterpart."""
 
     dim: int = 384
-    ef_construction: int = 150
     compaction_ratio: float = 0.30
     log_segment_bytes: int = 64 << 20
     log_total_bytes: int = 256 << 20

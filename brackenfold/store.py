@@ -1,11 +1,13 @@
 """A versioned vector table on Parquet with an operation log.
 
 Layout under a path: ``meta.json`` (dimension, fixed at creation), ``data/*``
-(Parquet parts of the log, each in its own folder) and ``versions/N.json``. A
-version lists the parts that make up the log and is created exclusively: of two
-writers of the same version one fails with CommitConflict, and a reader sees a
-version entirely or not at all. State is the fold of the log in which a delete
-is final, as ids are never reused.
+(Parquet parts, each in its own folder) and ``versions/N.json``. A version names
+the snapshot of the last checkpoint, one row per id, and the parts of the log
+since, and is created exclusively: of two writers of the same version one fails
+with CommitConflict, and a reader sees a version entirely or not at all. State
+is the fold of snapshot and log in which a delete is final, as ids are never
+reused. Only ids that the log since the checkpoint names are folded; all others
+are read off the snapshot without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +26,12 @@ from brackenfold.operators import change_feed, index_state, search
 from brackenfold.operators.numbering import dense_numbers
 
 
+#: Parts of the log since the checkpoint from which an append merges them into one.
+MERGE_PARTS = 32
+#: Versions that stay readable, and age in seconds from which parts that no version names are taken for those of a writer that died.
+KEEP_VERSIONS, ORPHAN_SECONDS = 2, 24 * 3600
+
+
 class Files:
     """Small files through Hadoop's file system, so that any store Spark writes to serves."""
 
@@ -60,6 +68,13 @@ class Files:
             return []
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self.path(folder)))
 
+    def aged(self, folder: str, seconds: float) -> list[str]:
+        """Entries that haven't changed for so long."""
+        if not self.fs.exists(self.path(folder)):
+            return []
+        before = (time.time() - seconds) * 1000
+        return [x.getPath().getName() for x in self.fs.listStatus(self.path(folder)) if x.getModificationTime() < before]
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -84,7 +99,7 @@ class VectorTable:
         if meta is not None and meta.get("format") != 1:
             raise s.Corruption("unknown format")
         table.version = -1
-        table.manifest = {"parts": [], "next_id": 0, "next_lsn": 0, "checkpoint_lsn": 0}
+        table.manifest = {"snapshot": None, "parts": [], "next_id": 0, "next_lsn": 0, "checkpoint_lsn": 0}
         table.refresh()
         return table
 
@@ -109,23 +124,41 @@ class VectorTable:
         return part
 
     def _append(self, log: DataFrame, ids: int, lsns: int) -> None:
-        part = self._write(log)
         m = self.manifest
-        self._commit(parts=[*m["parts"], part], next_id=m["next_id"] + ids, next_lsn=m["next_lsn"] + lsns)
+        if len(m["parts"]) + 1 < MERGE_PARTS:
+            self._commit(parts=[*m["parts"], self._write(log)], next_id=m["next_id"] + ids, next_lsn=m["next_lsn"] + lsns)
+            return
+        # single inserts make small parts: many become one, so that neither files nor versions grow without end
+        merged = self._write(self._read(m["parts"]).unionByName(log))
+        self._commit(parts=[merged], next_id=m["next_id"] + ids, next_lsn=m["next_lsn"] + lsns)
+        self.vacuum()
 
     def _ms(self) -> int:
         return int(self.clock() * 1000)
 
-    def log(self) -> DataFrame:
-        if not self.manifest["parts"]:
+    def _read(self, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], s.OPLOG)
-        return self.spark.read.schema(s.OPLOG).parquet(*[f"{self.path}/{p}" for p in self.manifest["parts"]])
+        return self.spark.read.schema(s.OPLOG).parquet(*[f"{self.path}/{p}" for p in parts])
+
+    def _snapshot(self) -> DataFrame:
+        return self._read([self.manifest["snapshot"]] if self.manifest["snapshot"] else [])
+
+    def log(self) -> DataFrame:
+        """The snapshot's rows as inserts and deletes, and the log since."""
+        return self._snapshot().unionByName(self._read(self.manifest["parts"]))
 
     def state(self) -> DataFrame:
         """(vec_id, embedding, metadata, deleted): one row per id ever used."""
         if self._state is None:
-            folded = change_feed.terminal_state(self.log(), "vec_id", "lsn", "op", ["embedding", "metadata"])
-            self._state = folded.select("vec_id", "embedding", F.coalesce("metadata", F.lit(b"")).alias("metadata"), "deleted")
+            snapshot, delta = self._snapshot(), self._read(self.manifest["parts"])
+            kept = snapshot.select("vec_id", "embedding", "metadata", (F.col("op") == "D").alias("deleted"))
+            if self.manifest["parts"]:
+                touched = delta.select("vec_id")
+                feed = snapshot.join(touched, "vec_id", "left_semi").unionByName(delta)
+                folded = change_feed.terminal_state(feed, "vec_id", "lsn", "op", ["embedding", "metadata"])
+                kept = kept.join(touched, "vec_id", "left_anti").unionByName(folded.select("vec_id", "embedding", "metadata", "deleted"))
+            self._state = kept.withColumn("metadata", F.coalesce("metadata", F.lit(b"")))
         return self._state
 
     def live(self) -> DataFrame:
@@ -149,6 +182,40 @@ class VectorTable:
         self._append(self._one("I", vec_id, vector, metadata or b""), 1, 1)
         return vec_id
 
+    def insert_batch(self, vectors: list[list[float]], metadata: list[bytes | None] | None = None) -> list[int]:
+        """The ids of many vectors, inserted in one commit; a wrong one among them changes nothing."""
+        for x in vectors:
+            self._check(x)
+        if not vectors:
+            return []
+        m, now = self.manifest, self._ms()
+        payload = metadata or [None] * len(vectors)
+        rows = [(m["next_lsn"] + i, now, "I", m["next_id"] + i, [float(y) for y in x], d or b"") for i, (x, d) in enumerate(zip(vectors, payload))]
+        self._append(self.spark.createDataFrame(rows, s.OPLOG), len(rows), len(rows))
+        return [r[3] for r in rows]
+
+    def insert_raw(self, vector: list[float], metadata: bytes | None = None) -> int:
+        """As ``insert``, but of any finite values or none: a row of the wrong length takes an id and is never found."""
+        vec_id = self.manifest["next_id"]
+        fits = len(vector) == self.config.dim and all(x == x and x not in (float("inf"), float("-inf")) for x in vector)
+        self._append(self._one("I", vec_id, vector if fits else [0.0] * self.config.dim, metadata or b""), 1, 1)
+        return vec_id
+
+    def recover(self, log: DataFrame) -> int:
+        """Appends the records of ``log`` (see ``wal_segments``) that this table doesn't have yet; their number.
+
+        Records from before the checkpoint or without an effect on state are left
+        out, so replaying the same segments again changes nothing.
+        """
+        m = self.manifest
+        known = self._read(m["parts"]).select("lsn")
+        new = log.where((F.col("lsn") >= m["checkpoint_lsn"]) & (F.col("op") != "C") & F.col("vec_id").isNotNull()).select(*[f.name for f in s.OPLOG]).dropDuplicates(["lsn"]).join(known, "lsn", "left_anti")
+        ends = new.agg(F.count("*").alias("n"), F.max("lsn").alias("lsn"), F.max("vec_id").alias("id")).first()
+        if ends["n"]:
+            part = self._write(new)
+            self._commit(parts=[*m["parts"], part], next_id=max(m["next_id"], ends["id"] + 1), next_lsn=max(m["next_lsn"], ends["lsn"] + 1))
+        return ends["n"]
+
     def insert_many(self, rows: DataFrame, order_by: list[str]) -> tuple[int, int]:
         """(first id, number): rows (embedding, metadata) get ids in the order of ``order_by``, in one commit.
 
@@ -229,7 +296,7 @@ class VectorTable:
 
     def should_compact(self) -> bool:
         gone, total, _ = self.deletion_stats()
-        return total > 0 and 10 * gone > 3 * total
+        return total > 0 and gone > self.config.compaction_ratio * total
 
     def last_written_lsn(self) -> int:
         return self.manifest["next_lsn"]
@@ -254,10 +321,8 @@ class VectorTable:
             return
         m = self.manifest
         rows = self.state().select(F.col("vec_id").alias("lsn"), F.lit(self._ms()).alias("ts_ms"), F.when(F.col("deleted"), "D").otherwise("I").alias("op"), "vec_id", "embedding", "metadata")
-        old = m["parts"]
-        part = self._write(rows)
-        self._commit(parts=[part], checkpoint_lsn=m["next_lsn"], next_lsn=m["next_lsn"] + 1)
-        self._vacuum(old)
+        self._commit(snapshot=self._write(rows), parts=[], checkpoint_lsn=m["next_lsn"], next_lsn=m["next_lsn"] + 1)
+        self.vacuum()
 
     def compact(self) -> bool:
         """Drops deleted rows and renumbers the live ones in id order; False if there was nothing to drop."""
@@ -267,18 +332,26 @@ class VectorTable:
         kept = dense_numbers(self.live().withColumnRenamed("vec_id", "_old"), ["_old"], "vec_id")
         n = kept.count()
         part = self._write(kept.select(F.col("vec_id").alias("lsn"), F.lit(self._ms()).alias("ts_ms"), F.lit("I").alias("op"), "vec_id", "embedding", "metadata"))
-        self._commit(parts=[part], next_id=n, checkpoint_lsn=m["next_lsn"], next_lsn=m["next_lsn"] + 1)
-        self._vacuum(m["parts"])
+        self._commit(snapshot=part, parts=[], next_id=n, checkpoint_lsn=m["next_lsn"], next_lsn=m["next_lsn"] + 1)
+        self.vacuum()
         return True
 
-    def _vacuum(self, parts: list[str]) -> None:
-        """Only the last two versions stay readable: parts in none of them go."""
-        before = self.files.read(f"versions/{self.version - 1}.json") or {"parts": []}
-        for n in range(max(0, self.version - 8), self.version - 1):
-            old = self.files.read(f"versions/{n}.json")
-            for p in (old or {"parts": []})["parts"]:
-                if p not in before["parts"] and p not in self.manifest["parts"]:
-                    self.files.delete(p)
+    def vacuum(self) -> None:
+        """Drops all but the last KEEP_VERSIONS versions, the parts that only they named, and parts no version ever named."""
+        found = sorted(int(x.removesuffix(".json")) for x in self.files.names("versions") if x.endswith(".json"))
+
+        def named(n: int) -> set[str]:
+            version = self.files.read(f"versions/{n}.json") or {}
+            return {p for p in (version.get("snapshot"), *version.get("parts", [])) if p}
+
+        kept = set().union(*map(named, found[-KEEP_VERSIONS:]))
+        for n in found[:-KEEP_VERSIONS]:
+            for p in named(n) - kept:
+                self.files.delete(p)
+            self.files.delete(f"versions/{n}.json")
+        for p in self.files.aged("data", ORPHAN_SECONDS):
+            if f"data/{p}" not in kept:
+                self.files.delete(f"data/{p}")
 
     def close(self) -> None:
         self._state = None
