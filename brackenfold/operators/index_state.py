@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brackenfold.functions import vectors
+from brackenfold.operators.numbering import running_totals
+
 
 def latest_documents(entries: DataFrame, key: str = "source", order: tuple[str, ...] = ("indexed_at", "loaded_at")) -> DataFrame:
     """One row per source: the latest by ``order``, then the largest of the rest. Null sources are left out.
@@ -69,13 +72,20 @@ def duplicates(rows: DataFrame, key: str, digest: Column) -> DataFrame:
 def retained_segments(segments: DataFrame, max_bytes: int, max_count: int, segment: str = "segment", size: str = "bytes", safe: str = "checkpointed") -> DataFrame:
     """``segments`` that stay: the oldest go while the rest is over a limit, as long as they were checkpointed.
 
-    A log's segments are a bounded listing (a few dozen files), so one window
-    over them is one small task.
+    All from the first one on that has to stay do; what is over a limit is told
+    by totals over range partitions, so that no task sees all segments.
     """
-    from pyspark.sql.window import Window
-
-    newest = Window.orderBy(F.col(segment).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    oldest = Window.orderBy(segment).rowsBetween(Window.unboundedPreceding, 0)
-    over = (F.sum(size).over(newest) > max_bytes) | (F.count("*").over(newest) > max_count)
-    blocked = F.max(F.when(over & F.col(safe), 0).otherwise(1)).over(oldest)
-    return segments.withColumn("_keep", blocked == 1).where("_keep").drop("_keep")
+    marked = running_totals(segments.withColumn("_one", F.lit(1).cast("bigint")), [segment], {"_bytes_to": size, "_count_to": "_one"})
+    whole = marked.agg(F.max("_bytes_to").alias("b"), F.max("_count_to").alias("n")).first()
+    if not whole["n"]:
+        return segments
+    over = (F.lit(whole["b"]) - F.col("_bytes_to") + F.col(size) > max_bytes) | (F.lit(whole["n"]) - F.col("_count_to") + 1 > max_count)
+    first = marked.where(~(over & F.col(safe))).agg(F.min(segment).alias("s")).first()["s"]
+    return segments.where(F.col(segment) >= F.lit(first)) if first is not None else segments.where(F.lit(False))
+
+
+def first_indexable(rows: DataFrame, id_col: str, vector: str, dims: int) -> DataFrame:
+    """(id): the smallest id with ``dims`` finite numbers that aren't all zero; null if there is none."""
+    x = F.col(vector)
+    usable = (F.size(x) == dims) & F.forall(x, lambda v: v.isNotNull()) & vectors.is_finite(vector) & ~vectors.is_placeholder(vector)
+    return rows.where(usable).agg(F.min(id_col).alias(id_col))

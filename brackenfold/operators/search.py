@@ -42,12 +42,17 @@ def rag_ef(k: int) -> int:
     return min(200, max(40, 4 * k))
 
 
-def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, distance, score): the k rows nearest to the query, ties by id. Zero vectors are never found."""
+def scored(rows: DataFrame, query: list[float], id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, distance, score) of every row but zero vectors, which are never found."""
     q = v.literal(query)
     size = math.sqrt(math.fsum(x * x for x in query))
-    hits = rows.where(~v.is_placeholder(vector)).select(id_col, v.distance_of(v.similarity(F.col(vector), q, norm_b=F.lit(size))).alias("distance"))
-    return hits.orderBy("distance", id_col).limit(k).select(id_col, "distance", v.score_of("distance").alias("score"))
+    near = rows.where(~v.is_placeholder(vector)).select(id_col, v.distance_of(v.similarity(F.col(vector), q, norm_b=F.lit(size))).alias("distance"))
+    return near.select(id_col, "distance", v.score_of("distance").alias("score"))
+
+
+def top_k(rows: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, distance, score): the k rows nearest to the query, ties by id. Zero vectors are never found."""
+    return scored(rows, query, id_col, vector).orderBy("distance", id_col).limit(k)
 
 
 def search(rows: DataFrame, query: list[float], k: int, dim: int, where: Column | None = None, id_col: str = "vec_id", vector: str = "embedding", payload: list[str] = ()) -> DataFrame:

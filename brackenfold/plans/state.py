@@ -48,9 +48,9 @@ def upsert_documents(spark, d):
 
 
 def delete_sources(spark, d):
-    """Chunks of all sources that have an index entry are deleted."""
+    """Chunks of the sources whose last entry has no content hash or no chunk count are deleted, to be indexed anew."""
     chunks = table(spark, d, "chunks").select("vec_id", "source").distinct()
-    return ix.delete_sources(chunks, _entries(spark, d))
+    return ix.delete_sources(chunks, _entries(spark, d).where("content_hash is null or chunk_count is null"))
 
 
 def _wal(spark, d):
@@ -116,13 +116,15 @@ QUERIES = {
     "retention": retention,
 }
 ORACLES = {
+    "metadata_json": """with t as (select lsn, case when json_valid(x) then x end j from (select lsn, try(decode(metadata)) x from wal_records where metadata is not null))
+select distinct lsn, json_extract_string(j, '$.source') source, try_cast(json_extract_string(j, '$.chunk_index') as int) chunk_index from t where json_extract_string(j, '$.source') is not null""",
     "latest_documents": f"with {ENTRY_SQL} select * from e",
     "sources_list": "select distinct source from chunks where source is not null",
     "chunks_per_source": "select source, count(distinct vec_id) n_chunks from chunks where source is not null group by 1",
     "document_status": f"with {ENTRY_SQL} select s.source, e.source is not null as found, content_hash, indexed_at, chunk_count from (select distinct source from chunks where source is not null) s left join e on e.source = s.source",
     "change_detection": f"with {ENTRY_SQL} select i.source, i.content_hash, case when e.source is null then 'new' when i.content_hash = e.content_hash then 'unchanged' else 'changed' end status from (select distinct source, content_hash from index_entries where source is not null) i left join e on e.source = i.source",
     "upsert_documents": f"with {ENTRY_SQL}, c as (select source, count(distinct vec_id)::int n from chunks where source is not null group by 1) select source, content_hash, chunk_count from e where source not in (select source from c) union all select source, 'again', n from c",
-    "delete_sources": f"with {ENTRY_SQL} select distinct vec_id, source from chunks where source is null or source not in (select source from e)",
+    "delete_sources": f"with {ENTRY_SQL} select distinct vec_id, source from chunks where source is null or source not in (select source from e where content_hash is null or chunk_count is null)",
     "oplog_replay": f"with {TERMINAL_SQL.format(where='')} select vector_id, lsn, deleted from t",
     "oplog_from_checkpoint": f"with {TERMINAL_SQL.format(where=f'and lsn >= {CHECKPOINT}')} select vector_id, lsn, deleted from t",
     "deletion_stats": f"with {TERMINAL_SQL.format(where='')} select count(*) filter (deleted) deleted, count(*) total, count(*) filter (not deleted) live, (count(*) filter (deleted) / count(*))::float ratio, 10 * count(*) filter (deleted) > 3 * count(*) compact from t",

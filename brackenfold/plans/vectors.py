@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brackenfold.functions import vectors as v
-from brackenfold.operators import ann, search
+from brackenfold.operators import ann, index_state, search
+from brackenfold.operators import change_feed as cf
 from brackenfold.operators.numbering import dense_numbers
+from brackenfold.plans.changes import LIVE_SQL
+from brackenfold.plans.state import TERMINAL_SQL
 from brackenfold.tables import table
 
 DIM, K = 64, 10
@@ -61,8 +64,7 @@ def score_clamp(spark, d):
     """Negative similarities score 0 and keep their order by distance."""
     rows = table(spark, d, "embeddings")
     q = [-x for x in _query(rows)]
-    hits = search.top_k(rows, q, 1_000_000, "vec_id")
-    return hits.agg(F.count("*").alias("n"), F.count_if(F.col("score") == 0).alias("zero"), F.count_if(F.col("distance") >= 1).alias("opposite"))
+    return search.scored(rows, q).agg(F.count("*").alias("n"), F.count_if(F.col("score") == 0).alias("zero"), F.count_if(F.col("distance") >= 1).alias("opposite"))
 
 
 def _asked(rows):
@@ -91,11 +93,17 @@ def point_lookup(spark, d):
 
 
 def compact_renumber(spark, d):
-    """Live vectors, here those whose id isn't divisible by 3, get dense ids in the old order."""
-    live = table(spark, d, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("old_id"))
+    """Vectors that the operation log leaves live get dense ids in the old order."""
+    live = cf.terminal_state(table(spark, d, "wal_records"), "vector_id", "lsn", "op_type", []).where("not deleted").select(F.col("vector_id").alias("old_id"))
     return dense_numbers(live, ["old_id"], "vec_id")
 
 
+def first_indexable(spark, d):
+    """Where an index may start: the live vector with the smallest id that has numbers to search by."""
+    state = cf.current_state(table(spark, d, "wal_records"), "vector_id", "lsn", "op_type", ["vector_data"])
+    return index_state.first_indexable(state, "vector_id", "vector_data", DIM)
+
+
 _Q = "q as (select embedding::double[] x from embeddings order by vec_id limit 1)"
 _S = f"{_Q}, s as (select vec_id, label, (1 - list_cosine_similarity(embedding::double[], x))::float dist from embeddings, q)"
 _OUT = "round(greatest(0, 1 - dist::double), 5) score"
@@ -113,6 +121,7 @@ QUERIES = {
     "ivf_recall": ivf_recall,
     "point_lookup": point_lookup,
     "compact_renumber": compact_renumber,
+    "first_indexable": first_indexable,
 }
 ORACLES = {
     "vector_norms": "select vec_id, len(embedding)::int dims, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x)))::float norm from embeddings",
@@ -126,5 +135,7 @@ ORACLES = {
     "knn_batch": f"""with s as (select a.vec_id query_id, b.vec_id, (1 - list_cosine_similarity(b.embedding::double[], a.embedding::double[]))::float dist from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by dist, vec_id) k from s) select query_id, vec_id, k::int as rank, {_OUT} from r where k <= {K}""",
     "point_lookup": "select vec_id, label, embedding[1]::double x0 from embeddings where vec_id = 7",
-    "compact_renumber": "select vec_id old_id, row_number() over (order by vec_id) - 1 vec_id from embeddings where vec_id % 3 <> 0",
+    "compact_renumber": f"with {TERMINAL_SQL.format(where='')} select vector_id old_id, row_number() over (order by vector_id) - 1 vec_id from t where not deleted",
+    "first_indexable": f"""with {LIVE_SQL} select min(w.vector_id) vector_id from wal_records w join live l on w.vector_id = l.vector_id and w.lsn = l.lsn
+where len(vector_data) = 64 and len(list_filter(vector_data, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(vector_data, lambda x: x <> 0)) > 0""",
 }

@@ -22,6 +22,10 @@ from brackenfold.store import Files
 from brackenfold.tables import checkpoint
 
 
+#: Replaced or deleted sources that are sent to all tasks, at most; more are joined by shuffle.
+GONE_ROWS = 200_000
+
+
 class RagEngine:
     """Documents and chunks in versioned Parquet, one commit per call.
 
@@ -77,6 +81,9 @@ class RagEngine:
         if self.manifest["gone"]:
             gone = self.spark.read.schema("source string, before int").parquet(*[f"{self.path}/{p}" for p in self.manifest["gone"]])
             last = gone.groupBy("source").agg(F.max("before").alias("before"))
+            # replaced and deleted sources are few; one source may hold a large part of all rows, so they don't meet by source
+            if last.count() <= GONE_ROWS:
+                last = F.broadcast(last)
             df = df.join(last, "source", "left").where(F.col("before").isNull() | (F.col("version") >= F.col("before"))).drop("before")
         return df.select(*full.names)
 

@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where the setting is absent (tests, one machine).
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where the
+    setting is absent, a temporary one is set if all runs on one machine; on a
+    cluster, whose executors couldn't share it, that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not folder:
             folder = tempfile.mkdtemp(prefix="brackenfold-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
