@@ -69,8 +69,8 @@ def build_cells(rows: DataFrame, cells: int | None = None, id_col: str = "vec_id
     if not n:
         return CellIndex(rows.withColumn("cell", F.lit(0)), np.zeros((1, 1)), 0)
     share = min(1.0, 1.1 * SAMPLE_ROWS / n)
-    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003).select(vector).limit(SAMPLE_ROWS).toArrow().column(vector).to_pylist()
-    x = np.array(sample or [rows.first()[vector]], np.float64)
+    sample = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < share * 1_000_003).select(vector).limit(SAMPLE_ROWS).toArrow().column(vector).combine_chunks()
+    x = sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sample), -1) if len(sample) else np.array([rows.first()[vector]], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     k = min(cells or max(1, round(math.sqrt(n))), MAX_CELLS, len(x))
     centres = x[np.random.default_rng(11).choice(len(x), k, replace=False)]
@@ -84,7 +84,7 @@ def build_cells(rows: DataFrame, cells: int | None = None, id_col: str = "vec_id
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = np.array(b.column(b.schema.get_field_index(vector)).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            y = b.column(b.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((y @ shared.value.T).argmax(axis=1) if len(y) else [], pa.int32())], [*b.schema.names, "cell"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", cell int"

@@ -102,6 +102,15 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("i").alias(id_col), "rank", "distance", v.score_of("distance").alias("score"))
 
 
+def _best(at: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k hits (query, distance, id) of each query with the least distance, then the smallest id."""
+    order = np.lexsort((ids, dist, at))
+    at, dist, ids = at[order], dist[order], ids[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+    return at[rank < k], dist[rank < k], ids[rank < k]
+
+
 def _block(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, exclude_same: bool) -> DataFrame:
     table = queries.orderBy("q").toArrow()
     spark = rows.sparkSession
@@ -112,27 +121,28 @@ def _block(rows: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, x, qn = shared.value
-        best: list[list] = [[] for _ in range(len(qids))]
-        names = qids.to_pylist()
+        plain = lambda x: x.astype(str) if x.dtype == object else x
+        names = plain(qids.to_numpy(zero_copy_only=False))
+        at, dist, ids = np.zeros(0, np.int64), np.zeros(0, np.float32), None
         for b in batches:
             if not len(qids) or not b.num_rows:
                 continue
-            ids = b.column(0).to_pylist()
-            y = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            own = plain(b.column(0).to_numpy(zero_copy_only=False))
+            y = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
             yn = np.sqrt((y * y).sum(axis=1))
-            order = np.argsort(np.array(ids, dtype=object) if isinstance(ids[0], str) else np.array(ids), kind="stable")
-            take = min(len(ids), k + 1)
-            step = max(1, PAIRS // len(ids))
-            for qi in range(len(names)):
-                if qi % step == 0:
-                    dist = (1 - np.clip((x[qi : qi + step] @ y.T) / qn[qi : qi + step, None] / yn, -1, 1)).astype(np.float32)
-                d = dist[qi % step]
-                # all rows up to the k-th distance, ties included, then by id
-                edge = np.partition(d, take - 1)[take - 1]
-                cand = [(float(d[j]), ids[j]) for j in order[d[order] <= edge] if not (exclude_same and ids[j] == names[qi])]
-                best[qi] = sorted(best[qi] + cand)[:k]
-        flat = [(qi, d, i) for qi, hits in enumerate(best) for d, i in hits]
-        yield pa.RecordBatch.from_arrays([qids.take(pa.array([f[0] for f in flat], pa.int64())), pa.array([f[2] for f in flat], b_type), pa.array([f[1] for f in flat], pa.float32())], ["q", "i", "distance"])
+            step = max(1, PAIRS // len(own))
+            new = [(at, dist, own[:0] if ids is None else ids)]
+            for lo in range(0, len(names), step):
+                d = (1 - np.clip((x[lo : lo + step] @ y.T) / qn[lo : lo + step, None] / yn, -1, 1)).astype(np.float32)
+                if exclude_same:
+                    d[names[lo : lo + step, None] == own] = np.inf
+                # all rows up to the k-th distance, ties included
+                edge = np.partition(d, min(k, len(own)) - 1, axis=1)[:, min(k, len(own)) - 1]
+                row, col = np.nonzero((d <= edge[:, None]) & (d < np.inf))
+                new.append((row + lo, d[row, col], own[col]))
+            at, dist, ids = _best(*(np.concatenate(part) for part in zip(*new)), k)
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), pa.array(ids, b_type), pa.array(dist, pa.float32())], ["q", "i", "distance"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
