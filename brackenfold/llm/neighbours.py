@@ -24,11 +24,15 @@ from brackenfold.tables import checkpoint
 SAMPLE_ROWS = 120_000
 #: Rows a cell should hold, cells of a level at most, and members, and likewise queries, of a cell that one task scans at most.
 CELL_ROWS, MAX_CELLS, BLOCK_ROWS = 2_500, 4_096, 20_000
+#: Cells that a task of the search scans one after the other, on average.
+TASK_CELLS = 4
 #: Rows of a cell of the upper level that its cells of the lower level are fitted on, about.
 SUB_ROWS = 20_000
 #: A query is sent to the cells whose centre is less similar by a margin at most than the best one, and to so many at most:
 #: PROBES and MARGIN, or what more it takes with these cells for TARGET of the k nearest (see ``reach``).
 PROBES, MARGIN, TARGET = 6, 0.25, 0.95
+#: Where only neighbours of a least score are asked for, so many of them: they are near, so that few cells hold them.
+CLOSE_TARGET, TURNS = 0.99, 4
 #: Rows of the sample whose neighbours in the sample tell that.
 ASK_ROWS = 1_000
 #: Rows of the sample that codebooks are fitted on.
@@ -67,23 +71,38 @@ def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([(p @ centres.T).argmax(axis=1) for p in np.array_split(x, math.ceil(len(x) / 8192))])
 
 
-def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, probes: int = PROBES, target: float = TARGET) -> tuple[int, float]:
+def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, probes: int = PROBES, target: float = TARGET, min_score: float | None = None) -> tuple[int, float]:
     """(probes, margin) that send a query to the cells of ``target`` of its k nearest, with the fewest cells a query.
 
     Told by the neighbours of rows of the sample in the sample. In the whole
-    table they are nearer, so that the share is rather higher there.
+    table they are nearer, so that the share is rather higher there. With
+    ``min_score`` only neighbours of that score count, and besides those in the
+    sample, which may have none, vectors turned away from its rows in random
+    directions to just that score, the farthest that are asked for.
     """
     ask = np.linspace(0, len(sample) - 1, min(ASK_ROWS, len(sample))).astype(int)
     k = min(k, len(sample) - 1)
     probes = min(probes, len(centres))
     if k < 1 or len(centres) == 1:
         return probes, MARGIN
-    cells = []
+    cells, close = [], []
     for part in np.array_split(ask, math.ceil(len(ask) / 32)):
         s = sample[part] @ sample.T
         s[np.arange(len(part)), part] = -3
-        cells.append(near[np.argpartition(s, -k, axis=1)[:, -k:]])
-    home = np.concatenate(cells)
+        top = np.argpartition(s, -k, axis=1)[:, -k:]
+        cells.append(near[top])
+        close.append(np.take_along_axis(s, top, axis=1) >= (-3 if min_score is None else min_score))
+    home, counts = np.concatenate(cells), np.concatenate(close)
+    if min_score is not None and 0 < min_score < 1:
+        rng = np.random.default_rng(5)
+        for _ in range(TURNS):
+            x = sample[ask]
+            away = rng.normal(size=x.shape).astype(np.float32)
+            away -= (away * x).sum(axis=1, keepdims=True) * x
+            away /= np.linalg.norm(away, axis=1, keepdims=True)
+            turned = ((min_score * x + math.sqrt(1 - min_score**2) * away) @ centres.T).argmax(axis=1)
+            home, counts = np.column_stack([home, turned]), np.column_stack([counts, np.ones(len(ask), bool)])
+        probes, target = 1, max(target, CLOSE_TARGET)
     to = sample[ask] @ centres.T
     rank = np.argsort(np.argsort(-to, axis=1, kind="stable"), axis=1)
     lag = to.max(axis=1, keepdims=True) - to
@@ -91,8 +110,8 @@ def reach(sample: np.ndarray, near: np.ndarray, centres: np.ndarray, k: int, pro
     best = (math.inf, len(centres), 2.0)
     p = probes
     while True:
-        for m in (MARGIN, 0.3, 0.35, 0.4, 0.5, 0.7, 2.0):
-            if ((of < p) & (gap <= m)).mean() >= target:
+        for m in (0.1, 0.15, 0.2, MARGIN, 0.3, 0.35, 0.4, 0.5, 0.7, 2.0):
+            if ((of < p) & (gap <= m))[counts].mean() >= target:
                 best = min(best, (float(((rank < p) & (lag <= m)).sum(axis=1).mean()), p, m))
         if p >= len(centres):
             return best[1:]
@@ -322,11 +341,11 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
     fit = sample[:CODE_ROWS]
     codec = Codec(dims).fit(fit, fit - centres[near[:CODE_ROWS]])
     model = spark.sparkContext.broadcast((centres, codec.books))
-    probes, margin = reach(sample, near, centres, k, probes, target)
+    probes, margin = reach(sample, near, centres, k, probes, target, min_score)
     flat = f"v {item_type}, vector array<float>, cell int, sub int, member boolean"
     sent = vectors.mapInArrow(lambda bs: _assign(bs, model.value[0], probes, margin, dims), flat)
     if deep:
-        sent = checkpoint(_lower(vectors, sent, model, probes, margin, dims, k, target, flat))
+        sent = checkpoint(_lower(vectors, sent, model, probes, margin, dims, k, target, min_score, flat))
     # cells are bounded in number; one with more members or queries than a task should scan is scanned in blocks
     tally = sent if deep else vectors.mapInArrow(lambda bs: _tally(_assign(bs, model.value[0], probes, margin, dims)), "cell int, sub int, m bigint, q bigint")
     if deep:
@@ -343,7 +362,9 @@ def _search(vectors: DataFrame, item_type: str, dims: int, k: int, min_score: fl
     alone = marked.where(whole).select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), "member", F.lit(True).alias("query"))
     as_member = marked.where(~whole & F.col("member")).select(*columns, mine("mb").alias("i"), every("qb").alias("j"), F.lit(True).alias("member"), F.lit(False).alias("query"))
     as_query = marked.where(~whole).select(*columns, every("mb").alias("i"), mine("qb").alias("j"), F.lit(False).alias("member"), F.lit(True).alias("query"))
-    sent = alone.unionByName(as_member).unionByName(as_query)
+    # a few cells a task, so that a task's share doesn't grow with the table
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(cells / TASK_CELLS))
+    sent = alone.unionByName(as_member).unionByName(as_query).repartition(parts, "cell", "sub", "i", "j")
 
     def search(t: pa.Table) -> pa.Table:
         c, books = model.value
@@ -403,7 +424,7 @@ def _tally(batches):
         yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.zeros(len(cell)), pa.int32()), pa.array(m), pa.array(np.bincount(at, minlength=len(cell)).astype(np.int64))], ["cell", "sub", "m", "q"])
 
 
-def _lower(vectors: DataFrame, sent: DataFrame, model, probes: int, margin: float, dims: int, k: int, target: float, flat: str) -> DataFrame:
+def _lower(vectors: DataFrame, sent: DataFrame, model, probes: int, margin: float, dims: int, k: int, target: float, min_score: float | None, flat: str) -> DataFrame:
     """``sent`` with ``sub``: the rows sent to a cell go on to its cells of the lower level.
 
     These are fitted cell by cell on about SUB_ROWS of its members and join the
@@ -421,7 +442,7 @@ def _lower(vectors: DataFrame, sent: DataFrame, model, probes: int, margin: floa
     def fit(t: pa.Table) -> pa.Table:
         x = unit(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), dims).astype(np.float32)
         c = kmeans(x, max(1, min(t.column("m")[0].as_py() // CELL_ROWS, len(x) // 20)))
-        p, m = reach(x, nearest_centre(x, c), c, k, PROBES, target)
+        p, m = reach(x, nearest_centre(x, c), c, k, PROBES, target, min_score)
         return pa.table({"cell": t.column("cell").slice(0, 1), "centres": pa.array([c.ravel().tolist()], pa.list_(pa.float32())), "probes": pa.array([p], pa.int32()), "margin": pa.array([m], pa.float64())})
 
     lower = checkpoint(sample.groupBy("cell").applyInArrow(fit, "cell int, centres array<float>, probes int, margin double"))
