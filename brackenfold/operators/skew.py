@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key with more rows than this on the large side is looked up by broadcast.
-#: At most (rows of the large side) / HOT_ROWS such keys exist, 40 bytes each:
-#: 4 MB for 10^11 rows.
+#: At most (rows of the large side) / HOT_ROWS such keys exist, 10^5 for 10^11
+#: rows: some MB of numbers, or 30 MB where a row carries a list of neighbours.
 HOT_ROWS = 1_000_000
 
 

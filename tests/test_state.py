@@ -1,5 +1,5 @@
 from brackenfold.operators import index_state as ix
-from brackenfold.operators.numbering import dense_numbers
+from brackenfold.operators.numbering import dense_numbers, running_totals
 from brackenfold.operators.skew import lookup_join
 
 
@@ -45,3 +45,23 @@ def test_retention(spark):
     df = spark.createDataFrame([(1, 100, True), (2, 100, False), (3, 100, True), (4, 100, False)], "segment bigint, bytes bigint, checkpointed boolean")
     assert {r[0] for r in ix.retained_segments(df, 250, 9).collect()} == {2, 3, 4}
     assert {r[0] for r in ix.retained_segments(df, 10_000, 9).collect()} == {1, 2, 3, 4}
+    assert ix.retained_segments(df.where("false"), 1, 1).count() == 0
+    assert {r[0] for r in ix.retained_segments(df.where("checkpointed"), 0, 0).collect()} == set()
+    assert {r[0] for r in ix.retained_segments(df, 10_000, 1).collect()} == {2, 3, 4}
+
+
+def test_running_totals(spark):
+    df = spark.range(500).selectExpr("id * 7 % 500 k", "cast(id % 3 as int) x").repartition(5)
+    rows = sorted((r["k"], r["x"], r["t"]) for r in running_totals(df, ["k"], {"t": "x"}).collect())
+    total = 0
+    for _, x, t in rows:
+        total += x
+        assert t == total
+    assert len(rows) == 500
+
+
+def test_first_indexable(spark):
+    rows = [(0, None), (1, [0.0, 0.0]), (2, [1.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (6, [1.0, 0.0]), (5, [0.0, 2.0])]
+    df = spark.createDataFrame(rows, "id int, x array<float>")
+    assert ix.first_indexable(df, "id", "x", 2).first()["id"] == 5
+    assert ix.first_indexable(df.where("id < 5"), "id", "x", 2).first()["id"] is None
