@@ -16,6 +16,13 @@ def p1_found(spark, d):
     return p1_pieces(spark, d).where("piece_index = 0").select("vec_id").distinct()
 
 
+def p1_cover(spark, d):
+    """Per cut chunk: its words, those of its pieces without their overlaps, and whether all pieces fit and share what they should."""
+    pieces = p1_pieces(spark, d).join(table(spark, d, "chunkers").select("chunker_id", "max_chunk_size", "overlap"), "chunker_id")
+    shared = F.when(F.col("piece_index") == 0, F.col("overlap_words") == 0).otherwise(F.col("overlap_words") == F.least("overlap", F.col("max_chunk_size") - 1))
+    return pieces.groupBy("vec_id").agg(F.max("n_words").cast("bigint").alias("n_words"), F.sum(F.col("piece_words") - F.col("overlap_words")).alias("own_words"), F.min((F.col("piece_words") <= F.col("max_chunk_size")) & shared).alias("fits"))
+
+
 def p3_repaired(spark, d):
     return encoding.find_garbled(table(spark, d, "chunks").select("vec_id", "source", "text")).distinct()
 
@@ -64,8 +71,10 @@ def _sentences(docs):
     return sentences.sentences(docs, "doc_id", "text", by_line=F.col("kind") == "note")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {"p1_found": p1_found, "p1_cover": p1_cover, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_repaired": p3_repaired, "p4_found": p4_found, "p4_sources": p4_sources, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_sentences": p8_sentences}
+WORDS_SQL = r"len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'))"
 ORACLES = {
+    "p1_cover": f"with w as (select distinct vec_id, {WORDS_SQL} n, max_chunk_size from chunks join chunkers using (chunker_id)) select vec_id, n n_words, n own_words, true fits from w where n > max_chunk_size",
     "p1_found": r"""select distinct vec_id from chunks join chunkers using (chunker_id)
 where len(regexp_extract_all(text, '[^\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) > max_chunk_size""",
 }
