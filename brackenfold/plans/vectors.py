@@ -88,6 +88,12 @@ def ivf_recall(spark, d):
     return ann.recall(search.knn(rows, asked, K, exclude_same=True), index.search_all(asked, K, search.rag_ef(K)), ["query_id", "vec_id"])
 
 
+def ivf_quality(spark, d):
+    """Whether the cells find at least nine tenths of the true neighbours of every id divisible by 20."""
+    asked = _asked(table(spark, d, "embeddings")).count()
+    return ivf_recall(spark, d).select(F.lit(asked).cast("bigint").alias("asked"), F.col("expected"), (F.col("recall") >= 0.9).alias("enough"))
+
+
 def point_lookup(spark, d):
     return table(spark, d, "embeddings").where("vec_id = 7").select("vec_id", "label", F.element_at("embedding", 1).cast("double").alias("x0"))
 
@@ -119,6 +125,7 @@ QUERIES = {
     "knn_batch": knn_batch,
     "ivf_topk": ivf_topk,
     "ivf_recall": ivf_recall,
+    "ivf_quality": ivf_quality,
     "point_lookup": point_lookup,
     "compact_renumber": compact_renumber,
     "first_indexable": first_indexable,
@@ -134,6 +141,7 @@ ORACLES = {
     "score_clamp": f"with {_Q}, s as (select (1 - list_cosine_similarity(embedding::double[], list_transform(x, lambda y: -y)))::float dist from embeddings, q) select count(*) n, count(*) filter (greatest(0, 1 - dist::double)::float = 0) zero, count(*) filter (dist >= 1) opposite from s",
     "knn_batch": f"""with s as (select a.vec_id query_id, b.vec_id, (1 - list_cosine_similarity(b.embedding::double[], a.embedding::double[]))::float dist from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
 r as (select *, row_number() over (partition by query_id order by dist, vec_id) k from s) select query_id, vec_id, k::int as rank, {_OUT} from r where k <= {K}""",
+    "ivf_quality": f"select count(*) asked, {K} * count(*) expected, true enough from embeddings where vec_id % 20 = 0",
     "point_lookup": "select vec_id, label, embedding[1]::double x0 from embeddings where vec_id = 7",
     "compact_renumber": f"with {TERMINAL_SQL.format(where='')} select vector_id old_id, row_number() over (order by vector_id) - 1 vec_id from t where not deleted",
     "first_indexable": f"""with {LIVE_SQL} select min(w.vector_id) vector_id from wal_records w join live l on w.vector_id = l.vector_id and w.lsn = l.lsn
