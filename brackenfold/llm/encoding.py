@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache, lru_cache, wraps
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,8 @@ MAX_LAYERS = 4
 DROP, CHANGE, WORD_COST = 10.0, 3.0, 1.5
 #: Cost that a word with a UTF-8 sequence has at least, unless its characters are common ones (see SUSPECT).
 SEQUENCE_COST = 2.5
+#: Characters of words that are remembered with what was found out about them.
+SHORT = 64
 
 # How often letters occur in Russian and in Greek, in percent.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфёъ", (10.97, 8.45, 8.01, 7.35, 6.70, 6.26, 5.47, 4.73, 4.54, 4.40, 3.49, 3.21, 2.98, 2.81, 2.62, 2.01, 1.90, 1.74, 1.70, 1.65, 1.59, 1.44, 1.21, 0.97, 0.94, 0.73, 0.64, 0.48, 0.36, 0.40, 0.26, 0.80, 0.04)))
@@ -134,7 +136,17 @@ def _cyrillic(ch: str, before: str, alone: bool) -> float:
     return 2.0 * (alone and ch not in "авикосуягрстмпе")
 
 
-@lru_cache(1 << 16)
+def remembered(size: int):
+    """As ``lru_cache``, but for short words only: long ones hardly come again and would fill the memory."""
+
+    def wrap(f):
+        kept = lru_cache(size)(f)
+        return wraps(f)(lambda word, *rest: kept(word, *rest) if len(word) <= SHORT else f(word, *rest))
+
+    return wrap
+
+
+@remembered(1 << 16)
 def word_cost(word: str) -> float:
     """Cost of a word, however it came about; about 0 for one that is spelled as words of its script are."""
     if word.isascii() and "\0" not in word:
@@ -314,7 +326,7 @@ def utf8_layer(text: str, codec: str) -> str:
     return "".join(out) if spelled else fixed
 
 
-@lru_cache(1 << 16)
+@remembered(1 << 16)
 def encoded(word: str, reader: str) -> bytes | None:
     """The bytes that were read as this word; None if reader has no such characters."""
     if reader in WIDE:
@@ -327,7 +339,7 @@ def encoded(word: str, reader: str) -> bytes | None:
     return None if None in raw else bytes(raw)
 
 
-@lru_cache(1 << 17)
+@remembered(1 << 17)
 def decoded(raw: bytes, writer: str) -> tuple[str, float] | None:
     """(word, its cost) strictly decoded; None if that can't be."""
     try:
